@@ -106,6 +106,8 @@ def _search(q: pd.DataFrame, ref: dict, k: int, measure, exclude: str, far: floa
             s[np.arange(hi - lo)[own], at[own]] = -np.inf
         elif exclude == "tag":
             s[q["tag"].to_numpy()[lo:hi, None] == ref["tag"][None, :]] = -np.inf
+        elif exclude == "other":
+            s[q["tag"].to_numpy()[lo:hi, None] != ref["tag"][None, :]] = -np.inf
         if np.isfinite(far):
             s[s < -far] = -np.inf
         rows, cols = _ranked_hits(s, k)
@@ -145,8 +147,8 @@ def knn_join(
     """The ``k`` best references of every query: qid, rid, label, score, rank.
 
     ``queries(qid, vec[, tag])``, ``refs(rid, vec[, label][, tag])``. ``exclude='self'`` skips the
-    reference with the query's own id, ``exclude='tag'`` those with its tag (a fold number); tags
-    must be few. ``max_distance`` is in the measure's metric and needs a distance measure.
+    reference with the query's own id, ``exclude='tag'`` those with its tag (a fold number) and
+    ``exclude='other'`` those with any other tag; tags must be few. ``max_distance`` is in the measure's metric and needs a distance measure.
     Ties rank by rid.
     """
     refs = _with_default(_with_default(refs, "label", F.lit("")), "tag", F.lit(-1))
@@ -215,7 +217,8 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits) -> DataFram
     )
     # Per cell: size, radius, and the few smallest pivot distances. Bounded by pivots x tags x k.
     need = k + 1 if exclude == "self" else k
-    by_tag = ["cell", "tag"] if exclude == "tag" else ["cell"]
+    tagged = exclude in ("tag", "other")
+    by_tag = ["cell", "tag"] if tagged else ["cell"]
     nearest = (
         placed.withColumn("i", F.row_number().over(Window.partitionBy(*by_tag).orderBy("d")))
         .where(F.col("i") <= need)
@@ -234,7 +237,7 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits) -> DataFram
     n_chunks = max(1, -(-q.count() // limits.block_rows))
     near_cell = nearest["cell"].to_numpy()
     near_d = nearest["d"].to_numpy()
-    near_tag = nearest["tag"].to_numpy() if exclude == "tag" else None
+    near_tag = nearest["tag"].to_numpy() if tagged else None
     qid_type = q.schema["qid"].dataType.simpleString()
     q_tag = q.schema["tag"].dataType.simpleString()
     q_vec = dict(q.dtypes)["vec"]
@@ -246,7 +249,8 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits) -> DataFram
             d = measure.metric(measure.prepare(as_matrix(b["vec"])), pivots)
             reach = d[:, near_cell] + near_d[None, :]
             if near_tag is not None:
-                reach[b["tag"].to_numpy()[:, None] == near_tag[None, :]] = np.inf
+                same = b["tag"].to_numpy()[:, None] == near_tag[None, :]
+                reach[same if exclude == "tag" else ~same] = np.inf
             if reach.shape[1] >= need:
                 bound = np.partition(reach, need - 1, axis=1)[:, need - 1]
             else:
