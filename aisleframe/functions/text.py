@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letter forms folded together, as pairs from -> to.
 ARABIC_LETTERS = "يىكةأإآ"
@@ -21,7 +22,7 @@ ARABIC_BLOCK = "[؀-ۿ]"
 SHORT_TERM = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""
     return text.map(
@@ -30,7 +31,7 @@ def nfkc(text: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(token: pd.Series, term: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two words."""
     return pd.Series(

@@ -18,7 +18,7 @@ from ..model import (
     VOTE_FLOOR,
     is_bucket,
 )
-from ..runtime import descending, exact_percentiles, split_row_number
+from ..runtime import exact_percentiles, split_row_number
 from . import evidence as ev
 from .discriminant import fit, posteriors
 from .matching import apply_gates, best_and_margin, match_knn, mean_vectors
@@ -91,7 +91,7 @@ def assign_folds(rows: DataFrame, k: int = 5, group: str = "photo") -> DataFrame
     dealt = split_row_number(
         groups,
         ["dominant"],
-        [descending(F.col("n")), F.substring(digest, 1, 3)],
+        [(F.col("n"), True), F.substring(digest, 1, 3)],
         [digest, F.col("g")],
         "_rn",
     )

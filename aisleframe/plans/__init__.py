@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market",)
+MODULES = ("market", "share", "quality", "vectors")
 
 
 def load_all():

@@ -43,7 +43,7 @@ def durable(df: DataFrame) -> DataFrame:
 def split_row_number(
     df: DataFrame,
     keys: Sequence[str],
-    coarse: Sequence[Column],
+    coarse: Sequence[Column | tuple[Column, bool]],
     fine: Sequence[Column],
     out: str,
 ) -> DataFrame:
@@ -51,14 +51,13 @@ def split_row_number(
 
     Rows are numbered inside ``(keys, coarse)`` and shifted by the running count of the earlier
     coarse values. A key that holds a third of the table is thus spread over its coarse values,
-    and only their counts are sorted per key. Coarse columns must not be null.
+    and only their counts are sorted per key. A coarse entry ``(column, True)`` sorts descending;
+    coarse columns must not be null.
     """
+    coarse = [c if isinstance(c, tuple) else (c, False) for c in coarse]
     names = [f"_c{i}" for i in range(len(coarse))]
-    plain = [c.alias(n) for c, n in zip((_strip_order(c) for c in coarse), names)]
-    tagged = df.select("*", *plain)
-    order = [
-        F.col(n).desc() if _is_desc(c) else F.col(n).asc() for c, n in zip(coarse, names)
-    ]
+    tagged = df.select("*", *[c.alias(n) for (c, _), n in zip(coarse, names)])
+    order = [F.col(n).desc() if down else F.col(n).asc() for (_, down), n in zip(coarse, names)]
     per_bucket = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     shift = per_bucket.select(
@@ -66,28 +65,13 @@ def split_row_number(
     )
     inside = Window.partitionBy(*keys, *names).orderBy(*fine)
     return (
-        tagged.withColumn("_rn", F.row_number().over(inside))
+        tagged.withColumn("_inside", F.row_number().over(inside))
         .join(shift, [*keys, *names])
-        .withColumn(out, (F.col("_shift") + F.col("_rn")).cast("long"))
-        .drop("_rn", "_shift", *names)
+        .withColumn(out, (F.col("_shift") + F.col("_inside")).cast("long"))
+        .drop("_inside", "_shift", *names)
     )
 
 
-def _is_desc(c: Column) -> bool:
-    return getattr(c, "_descending", False)
-
-
-def _strip_order(c: Column) -> Column:
-    return getattr(c, "_plain", c)
-
-
-def descending(c: Column) -> Column:
-    """Mark a coarse ordering column of :func:`split_row_number` as descending."""
-    marked = c.desc()
-    marked._descending, marked._plain = True, c
-    return marked
-
-
 def value_counts_ranked(df: DataFrame, col: str, buckets: int = 256) -> DataFrame:
     """Distinct values of ``col`` with their count and 1-based first position in sorted order.
 
