@@ -68,72 +68,113 @@ def parse_responses(rows: DataFrame, text: str, schema) -> tuple[DataFrame, Data
     return good.drop("_r"), bad.drop("_r")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``, instead of repeating its expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _literals(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def fruits_in(words: Column) -> Column:
     """Canonical fruits named in already cleaned words, aliases first."""
-    listed = F.split(words, " ")
-    has = lambda w: F.array_contains(listed, w)
-    found = [
-        F.when(F.contains(words, F.lit(phrase)), F.lit(fruit))
-        for phrase, fruit in FRUIT_ALIASES.items()
-    ]
-    found += [F.when(has("orange"), F.lit("orange")), F.when(has("cherry"), F.lit("cherry"))]
-    found += [
-        F.when(has(a) & has("fruit"), F.lit(f"{a}fruit")) for a in ("passion", "dragon")
-    ]
     special = ("orange", "cherry", "passionfruit", "dragonfruit")
-    found += [F.when(has(f), F.lit(f)) for f in FRUITS if f not in special]
-    return ordered_unique(F.array(*found))
+    aliases = F.array(
+        *[
+            F.struct(F.lit(phrase).alias("phrase"), F.lit(fruit).alias("fruit"))
+            for phrase, fruit in FRUIT_ALIASES.items()
+        ]
+    )
+
+    def found(text: Column) -> Column:
+        has = lambda w: F.array_contains(F.split(text, " "), w)
+        return F.concat(
+            F.transform(
+                F.filter(aliases, lambda a: F.contains(text, a["phrase"])), lambda a: a["fruit"]
+            ),
+            F.filter(_literals(("orange", "cherry")), has),
+            F.transform(
+                F.filter(_literals(("passion", "dragon")), lambda p: has(p) & has("fruit")),
+                lambda p: F.concat(p, F.lit("fruit")),
+            ),
+            F.filter(_literals([f for f in FRUITS if f not in special]), has),
+        )
+
+    return ordered_unique(_let(words, found))
 
 
 def extract_fruits(text: Column) -> Column:
     return fruits_in(clean_words(text))
 
 
-def normalise_fruits(rows: DataFrame, values: str, key: str, out: str) -> DataFrame:
-    """Canonical fruit list of an array column; a word that names no fruit stays as its token."""
-    each = rows.select(key, F.posexplode(values).alias("_p", "_v")).select(
-        key, "_p", clean_words(F.col("_v")).alias("_w"), compact_token(F.col("_v")).alias("_t")
+def normalise_fruits(rows: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """Canonical fruit lists of array columns, one output column per entry of ``columns``.
+
+    A word that names no fruit stays as its token.
+    """
+
+    def tag(name: str):
+        return lambda v, p: F.struct(F.lit(name).alias("o"), p.alias("p"), v.alias("v"))
+
+    tagged = F.concat(
+        *[F.transform(F.coalesce(c, _no_text()), tag(o)) for o, c in columns.items()]
+    )
+    each = rows.select(key, F.inline(tagged)).select(
+        key, "o", "p", clean_words(F.col("v")).alias("w"), compact_token(F.col("v")).alias("t")
     )
-    named = fruits_in(F.col("_w"))
-    per = each.select(
-        key, "_p", F.when(F.size(named) > 0, named).otherwise(F.array("_t")).alias("_f")
+    named = each.withColumn("f", fruits_in(F.col("w"))).withColumn(
+        "f", F.when(F.size("f") > 0, F.col("f")).otherwise(F.array("t"))
     )
-    # As many entries as the array had.
-    joined = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "_f"))).alias("_l"))
-    flat = joined.select(key, ordered_unique(F.flatten(F.col("_l._f"))).alias(out))
-    return rows.join(flat, key, "left").withColumn(
-        out, F.coalesce(out, F.array().cast("array<string>"))
+    # As many entries as the arrays had.
+    per = named.groupBy(key).agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("o") == o, F.struct("p", "f")))).alias(o)
+            for o in columns
+        ]
+    ).select(key, *[ordered_unique(F.flatten(F.col(o)["f"])).alias(o) for o in columns])
+    return rows.join(per, key, "left").withColumns(
+        {o: F.coalesce(o, _no_text()) for o in columns}
     )
 
 
-def canonical_flavour(words: Column, fruits: Column) -> Column:
-    """Flavour from cleaned words and a canonical fruit list."""
-    every = ordered_unique(F.concat(fruits, fruits_in(words)))
-    first = F.coalesce(F.get(every, F.lit(0)), F.lit(""))
-    tokens = F.filter(
-        F.split(words, " "), lambda t: (t != "") & ~t.isin(*GENERIC_FLAVOUR_WORDS)
-    )
-    plain = F.array_join(tokens, "")
-    return (
-        F.when(F.size(every) >= 2, F.lit("mix"))
-        .when(words == "", first)
-        .when(F.array_contains(F.split(words, " "), "orange"), F.lit("orange"))
-        .when(F.contains(words, F.lit("sour cherry")), F.lit("cherry"))
-        .when(plain.isin(*MIXED_FLAVOURS), F.lit("mix"))
-        .when((F.size(every) == 1) & F.startswith(plain, first), first)
-        .when(plain != "", plain)
-        .otherwise(first)
-    )
+def _no_text() -> Column:
+    return F.array().cast("array<string>")
+
+
+def canonical_flavour(words: Column, given: Column, fruits: Column) -> Column:
+    """Flavour from cleaned words and a canonical fruit list.
+
+    ``given`` tells whether there was any text; text in another script leaves no words and gives ''.
+    """
+
+    def decide(c: Column) -> Column:
+        text, every = c["words"], c["every"]
+        first = F.coalesce(F.get(every, F.lit(0)), F.lit(""))
+        tokens = F.filter(
+            F.split(text, " "), lambda t: (t != "") & ~t.isin(*GENERIC_FLAVOUR_WORDS)
+        )
+        plain = F.array_join(tokens, "")
+        return (
+            F.when(F.size(every) >= 2, F.lit("mix"))
+            .when((text == "") & c["given"], F.lit(""))
+            .when(text == "", first)
+            .when(F.array_contains(F.split(text, " "), "orange"), F.lit("orange"))
+            .when(F.contains(text, F.lit("sour cherry")), F.lit("cherry"))
+            .when(plain.isin(*MIXED_FLAVOURS), F.lit("mix"))
+            .when((F.size(every) == 1) & F.startswith(plain, first), first)
+            .when(plain != "", plain)
+            .otherwise(first)
+        )
+
+    every = ordered_unique(F.concat(F.coalesce(fruits, _no_text()), fruits_in(words)))
+    case = F.struct(words.alias("words"), given.alias("given"), every.alias("every"))
+    return _let(case, decide)
 
 
 def flavour(text: Column, fruits: Column) -> Column:
-    """Flavour of free text with a canonical fruit list; unreadable script gives ''."""
-    words = clean_words(text)
-    given = F.coalesce(text, F.lit("")) != ""
-    none = F.array().cast("array<string>")
-    canon = canonical_flavour(words, F.coalesce(fruits, none))
-    unreadable = given & (words == "") & (F.size(F.coalesce(fruits, none)) < 2)
-    return F.when(unreadable, F.lit("")).otherwise(canon)
+    """Flavour of free text with a canonical fruit list."""
+    return canonical_flavour(clean_words(text), F.coalesce(text, F.lit("")) != "", fruits)
 
 
 def brand_candidates(
@@ -311,33 +352,59 @@ def resolve(cases: DataFrame) -> DataFrame:
     ``cases(id, initial, brands, flavor_recheck, size_recovery, verification)``: structs as
     answered by the stages; a missing stage is null.
     """
-    none = F.array().cast("array<string>")
+    none = _no_text()
     texts = lambda c: F.coalesce(F.col(c), none)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    rows = cases
-    for src, out in (
-        ("initial.fruits", "_fi"),
-        ("flavor_recheck.fruits", "_ff"),
-        ("verification.fruits", "_fv"),
-    ):
-        rows = normalise_fruits(rows.withColumn("_src", F.col(src)), "_src", "id", out).drop("_src")
     has = lambda c: F.size(c) > 0
+    rows = normalise_fruits(
+        cases,
+        "id",
+        {
+            "_fi": F.col("initial.fruits"),
+            "_ff": F.col("flavor_recheck.fruits"),
+            "_fv": F.col("verification.fruits"),
+        },
+    )
+    final_text = _first_filled(F.col("verification.flavor"), F.col("flavor_recheck.flavor"))
     final_fruits = F.when(has("_fv"), F.col("_fv")).otherwise(F.col("_ff"))
     rows = rows.withColumns(
         {
             "_brand": compact_token(F.col("verification.brand")),
             "_brand0": compact_token(F.col("initial.brand")),
-            "_flavor": flavour(
-                _first_filled(F.col("verification.flavor"), F.col("flavor_recheck.flavor")),
-                final_fruits,
-            ),
-            "_flavor_f": flavour(F.col("flavor_recheck.flavor"), F.col("_ff")),
-            "_flavor_i": flavour(F.col("initial.flavor"), F.col("_fi")),
             "_size": normalise_size(
                 _first_filled(F.col("verification.size"), F.col("size_recovery.size"))
             ),
             "_size_r": normalise_size(F.col("size_recovery.size")),
             "_size_i": normalise_size(F.col("initial.size")),
+            "_words": F.array(
+                clean_words(final_text),
+                clean_words(F.col("flavor_recheck.flavor")),
+                clean_words(F.col("initial.flavor")),
+            ),
+        }
+    )
+    spoken = lambda c: F.coalesce(c, F.lit("")) != ""
+    sources = F.array(
+        F.struct(F.col("_words")[0].alias("w"), spoken(final_text).alias("g"), final_fruits.alias("f")),
+        F.struct(
+            F.col("_words")[1].alias("w"),
+            spoken(F.col("flavor_recheck.flavor")).alias("g"),
+            F.col("_ff").alias("f"),
+        ),
+        F.struct(
+            F.col("_words")[2].alias("w"),
+            spoken(F.col("initial.flavor")).alias("g"),
+            F.col("_fi").alias("f"),
+        ),
+    )
+    rows = rows.withColumn(
+        "_flavors", F.transform(sources, lambda s: canonical_flavour(s["w"], s["g"], s["f"]))
+    )
+    rows = rows.withColumns(
+        {
+            "_flavor": F.col("_flavors")[0],
+            "_flavor_f": F.col("_flavors")[1],
+            "_flavor_i": F.col("_flavors")[2],
         }
     )
     status0 = F.lower(F.trim(F.coalesce("initial.status", F.lit(""))))
@@ -384,12 +451,8 @@ def resolve(cases: DataFrame) -> DataFrame:
     )
     # The re-check's own fruit list (else the first pass's) also decides the flavour read back.
     back_fruits = F.when(has("_ff"), F.col("_ff")).otherwise(F.col("_fi"))
-    rows = rows.withColumn(
-        "_flavor_b",
-        F.when(F.col("_flavor") != "", flavour(F.col("_flavor"), back_fruits)).otherwise(
-            flavour(F.lit(""), back_fruits)
-        ),
-    )
+    said = F.when(early, F.lit("")).otherwise(F.col("_flavor"))
+    rows = rows.withColumn("_flavor_b", canonical_flavour(said, said != "", back_fruits))
     flav = _first_filled(F.col("_flavor_b"), F.col("_flavor_f"), F.col("_flavor_i"))
     size = _first_filled(late(F.col("_size")), F.col("_size_r"), F.col("_size_i"))
     missing = F.filter(

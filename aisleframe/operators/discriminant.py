@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,20 +100,12 @@ def _moments(rows: DataFrame) -> DataFrame:
                 held = {}
         yield from _emit(held)
 
-    def merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        row = np.sum(np.stack(g["row"].to_list()), axis=0)
-        return pd.DataFrame(
-            {
-                "model": [key[0]], "label": [key[1]], "i": [key[2]],
-                "n": [g["n"].sum()], "sx": [g["sx"].sum()], "row": [row],
-            }
-        )
-
     model_type = rows.schema["model"].dataType.simpleString()
     schema = f"model {model_type}, label string, i int, n long, sx double, row array<double>"
     parts = rows.mapInPandas(partial, schema)
-    # A group holds one vector per partial, so at most one per input partition and flush.
-    return parts.groupBy("model", "label", "i").applyInPandas(merge, schema)
+    return parts.groupBy("model", "label", "i").agg(
+        F.sum("n").alias("n"), F.sum("sx").alias("sx"), _vector_sum("row")
+    )
 
 
 def _emit(held: dict) -> Iterator[pd.DataFrame]:
@@ -180,20 +174,20 @@ def _pooled(moments: DataFrame, quartic: DataFrame, classes: pd.DataFrame) -> Da
         out = shrunk * np.outer(scale, scale) / per_model[key[0]]
         return pd.DataFrame({"model": key[0], "i": np.arange(p, dtype="int32"), "row": list(out)})
 
-    def add(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(g["row"].to_list()), axis=0)
-        return pd.DataFrame({"model": [key[0]], "i": [key[1]], "row": [total]})
-
     model_type = moments.schema["model"].dataType.simpleString()
     schema = f"model {model_type}, i int, row array<double>"
-    # A class is d rows of d numbers; a pooled row is one vector per class.
+    # A class is d rows of d numbers.
     return (
         moments.join(quartic, ["model", "label"])
         .groupBy("model", "label").applyInPandas(shrink, schema)
-        .groupBy("model", "i").applyInPandas(add, schema)
+        .groupBy("model", "i").agg(_vector_sum("row"))
     )
 
 
+def _vector_sum(col: str):
+    return vector_to_array(Summarizer.sum(array_to_vector(col))).alias(col)
+
+
 def posteriors(
     queries: DataFrame,
     head: Head,

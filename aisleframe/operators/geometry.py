@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,49 +94,82 @@ def merge_adjacent_boxes(
     image, so each such island is one small group.
     """
 
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx", kind="stable")
-        box = g[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-        conf, idx = g["conf"].to_numpy(dtype=float), g["idx"].to_numpy()
-        while len(box) > 1:
-            pairs = _first_pairs(
-                _mergeable(box, x_overlap, width_ratio, y_gap, max_aspect)
-            )
-            if not pairs:
-                break
-            i, j = (np.array(v) for v in zip(*pairs))
-            box[i, :2] = np.minimum(box[i, :2], box[j, :2])
-            box[i, 2:] = np.maximum(box[i, 2:], box[j, 2:])
-            conf[i] = np.maximum(conf[i], conf[j])
-            keep = np.ones(len(box), dtype=bool)
-            keep[j] = False
-            box, conf, idx = box[keep], conf[keep], idx[keep]
-        return pd.DataFrame(
-            {
-                "photo": g["photo"].iloc[0], "idx": idx, "x1": box[:, 0], "y1": box[:, 1],
-                "x2": box[:, 2], "y2": box[:, 3], "conf": conf,
-            }
-        )
+    rule = (x_overlap, width_ratio, y_gap, max_aspect)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if held is not None:
+                b = pd.concat([held, b])
+            if len(b):
+                # The last island may continue in the next batch.
+                start = _starts(b)
+                if start[-1]:
+                    yield _merge_islands(b.iloc[: start[-1]], rule)
+                held = b.iloc[start[-1]:]
+        if held is not None and len(held):
+            yield _merge_islands(held, rule)
 
     types = dict(boxes.dtypes)
     schema = (
         f"photo {types['photo']}, idx {types['idx']}, x1 double, y1 double, x2 double, y2 double, "
         "conf double"
     )
-    need = boxes.select("photo", "idx", "x1", "y1", "x2", "y2", "conf")
-    return _islands(need).groupBy("photo", "island").applyInPandas(merge, schema)
+    need = boxes.select("photo", "idx", *[F.col(c).cast("double").alias(c) for c in _BOX])
+    return (
+        _islands(need)
+        .repartition("photo", "island")
+        .sortWithinPartitions("photo", "island", "idx")
+        .mapInPandas(merge, schema)
+    )
+
 
+_BOX = ("x1", "y1", "x2", "y2", "conf")
+_ROWS = 256
 
-def _mergeable(box, x_overlap, width_ratio, y_gap, max_aspect) -> np.ndarray:
-    """Upper-triangular matrix of pairs that look like two parts of one object."""
-    lo = lambda c: np.minimum(box[:, None, c], box[None, :, c])
-    hi = lambda c: np.maximum(box[:, None, c], box[None, :, c])
-    w, h = box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]
-    thin, wide = np.minimum(w[:, None], w), np.maximum(w[:, None], w)
-    short = np.minimum(h[:, None], h)
+
+def _starts(b: pd.DataFrame) -> np.ndarray:
+    """First row of every island in rows sorted by photo and island."""
+    photo, island = b["photo"].to_numpy(), b["island"].to_numpy()
+    change = (photo[1:] != photo[:-1]) | (island[1:] != island[:-1])
+    return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+
+def _merge_islands(b: pd.DataFrame, rule: tuple) -> pd.DataFrame:
+    box = b[list(_BOX[:4])].to_numpy(dtype=float, copy=True)
+    conf = b["conf"].to_numpy(dtype=float, copy=True)
+    keep = np.ones(len(b), dtype=bool)
+    starts = _starts(b)
+    for lo, hi in zip(starts, np.append(starts[1:], len(b))):
+        alive = np.arange(lo, hi)
+        while len(alive) > 1:
+            pairs = _first_pairs(box[alive], rule)
+            if not pairs:
+                break
+            i, j = (alive[list(v)] for v in zip(*pairs))
+            box[i, :2] = np.minimum(box[i, :2], box[j, :2])
+            box[i, 2:] = np.maximum(box[i, 2:], box[j, 2:])
+            conf[i] = np.maximum(conf[i], conf[j])
+            keep[j] = False
+            alive = alive[keep[alive]]
+    out = b.loc[:, ["photo", "idx"]].assign(
+        x1=box[:, 0], y1=box[:, 1], x2=box[:, 2], y2=box[:, 3], conf=conf
+    )
+    return out[keep]
+
+
+def _mergeable(a: np.ndarray, box: np.ndarray, rule: tuple) -> np.ndarray:
+    """Which boxes look like the other part of each object in ``a``."""
+    x_overlap, width_ratio, y_gap, max_aspect = rule
+    lo = lambda c: np.minimum(a[:, None, c], box[None, :, c])
+    hi = lambda c: np.maximum(a[:, None, c], box[None, :, c])
+    w = lambda m: m[:, 2] - m[:, 0]
+    h = lambda m: m[:, 3] - m[:, 1]
+    thin, wide = np.minimum(w(a)[:, None], w(box)), np.maximum(w(a)[:, None], w(box))
+    short = np.minimum(h(a)[:, None], h(box))
     joint_w, joint_h = hi(2) - lo(0), hi(3) - lo(1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ok = (
+        return (
             (thin > 0)
             & (short > 0)
             & (joint_w > 0)
@@ -143,18 +178,20 @@ def _mergeable(box, x_overlap, width_ratio, y_gap, max_aspect) -> np.ndarray:
             & ((hi(1) - lo(3)) / short <= y_gap)
             & (joint_h / joint_w <= max_aspect)
         )
-    return np.triu(ok, 1)
 
 
-def _first_pairs(ok: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs in index order, each box used once."""
-    free = np.ones(len(ok), dtype=bool)
+def _first_pairs(box: np.ndarray, rule: tuple) -> list[tuple[int, int]]:
+    """Pairs in index order, each box used once; rows are compared in slices."""
+    n = len(box)
+    free = np.ones(n, dtype=bool)
     pairs = []
-    for i in range(len(ok)):
-        if free[i]:
-            partners = np.flatnonzero(ok[i] & free)
-            if len(partners):
-                j = int(partners[0])
-                free[i] = free[j] = False
-                pairs.append((i, j))
+    for lo in range(0, n, _ROWS):
+        ok = _mergeable(box[lo: lo + _ROWS], box, rule)
+        for i in np.flatnonzero(ok.any(axis=1)) + lo:
+            if free[i]:
+                partners = np.flatnonzero(ok[i - lo, i + 1:] & free[i + 1:])
+                if len(partners):
+                    j = int(partners[0]) + i + 1
+                    free[i] = free[j] = False
+                    pairs.append((int(i), j))
     return pairs

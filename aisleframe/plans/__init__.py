@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "share", "quality", "vectors")
+MODULES = ("market", "share", "quality", "vectors", "discovery")
 
 
 def load_all():

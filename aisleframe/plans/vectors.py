@@ -250,9 +250,10 @@ weighed AS (SELECT *, score * CASE WHEN uf AND pf = flavour THEN exp({alpha} * f
     * CASE WHEN ub AND pb IS NOT NULL AND pb <> brand THEN 1e-6
            WHEN ub AND label = 'unknown_beverage' AND NOT coalesce(bool_or(pb = brand) OVER (PARTITION BY id), false)
            THEN exp(3.0 * brand_score) ELSE 1 END AS w FROM parsed),
-fused AS (SELECT id, label, rank AS old_rank, CASE WHEN uf OR ub THEN w / sum(w) OVER (PARTITION BY id) ELSE score END AS s,
-    row_number() OVER (PARTITION BY id ORDER BY CASE WHEN uf OR ub THEN -round(w / sum(w) OVER (PARTITION BY id), 12) ELSE 0 END, rank)::BIGINT AS rank
-  FROM weighed)"""
+normed AS (SELECT *, CASE WHEN uf OR ub THEN w / sum(w) OVER (PARTITION BY id) ELSE score END AS s FROM weighed),
+fused AS (SELECT id, label, rank AS old_rank, s,
+    row_number() OVER (PARTITION BY id ORDER BY CASE WHEN uf OR ub THEN -round(s, 12) ELSE 0 END, rank)::BIGINT AS rank
+  FROM normed)"""
 # Cosines can be negative; shifted by one they can be weighed like probabilities.
 SHIFT_SQL = "ranking AS (SELECT id, label, (score + 1) / 2 AS score, rank FROM ranking0)"
 FUSION = (
@@ -340,7 +341,7 @@ def fusion_sweep_sql() -> str:
     ctes = []
     for a, tag in alphas.items():
         text = FUSE_SQL.format(alpha=a)
-        for n in ("parsed", "weighed", "fused"):
+        for n in ("parsed", "weighed", "normed", "fused"):
             text = text.replace(f"{n} AS (", f"{n}_{tag} AS (").replace(f"FROM {n}", f"FROM {n}_{tag}")
         ctes.append(text)
     top = """top AS (SELECT c.id, c.label AS truth, r.label AS base, s1 - s2 AS gap, fa.label AS l15, fb.label AS l30
@@ -487,8 +488,8 @@ def eva12(spark, d):
 WITH {GATED}, n AS (SELECT truth AS bucket, CASE WHEN pred = truth THEN 'same bucket' WHEN {PBUCKET} THEN 'other bucket'
   WHEN pred = 'low_confidence' THEN 'rejected' ELSE 'named product' END AS destination, pred FROM pr WHERE {NEG})
 SELECT bucket, destination, CASE WHEN destination = 'named product' THEN pred ELSE '' END AS product, count(*)::BIGINT AS n,
-       round(count(*) / (SELECT count(*) FROM n x WHERE x.bucket = n.bucket)::DOUBLE, 6) AS share
-FROM n GROUP BY ALL""")
+       round(count(*) / sum(count(*)) OVER (PARTITION BY bucket)::DOUBLE, 6) AS share
+FROM n GROUP BY 1, 2, 3""")
 def eva13(spark, d):
     return ev.negative_destinations(_loo_gated(spark, d)).select(
         "bucket", "destination", "product", "n", *r6("share")
