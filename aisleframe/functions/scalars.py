@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``, instead of repeating its expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lng = F.sin(F.radians(lng2 - lng1) / 2)

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scalars import let
+
 # Letter forms folded together, as pairs from -> to.
 ARABIC_LETTERS = "يىكةأإآ"
 PERSIAN_LETTERS = "ییکهااا"
@@ -65,20 +67,22 @@ def _ascii_base(text: Column) -> Column:
     return F.lower(F.trim(F.translate(composed, EASTERN_DIGITS, ASCII_DIGITS)))
 
 
+def _if_latin(text: Column, body) -> Column:
+    """``body`` of the folded text, '' when any Arabic-script letter occurs."""
+    return let(
+        _ascii_base(text),
+        lambda t: F.when(F.rlike(t, F.lit(ARABIC_BLOCK)), F.lit("")).otherwise(body(t)),
+    )
+
+
 def compact_token(text: Column) -> Column:
     """Lower-case ASCII letters and digits; '' when any Arabic-script letter occurs."""
-    base = _ascii_base(text)
-    return F.when(F.rlike(base, F.lit(ARABIC_BLOCK)), F.lit("")).otherwise(
-        F.regexp_replace(base, "[^a-z0-9]+", "")
-    )
+    return _if_latin(text, lambda t: F.regexp_replace(t, "[^a-z0-9]+", ""))
 
 
 def clean_words(text: Column) -> Column:
     """Lower-case ASCII words separated by single spaces; '' for Arabic script."""
-    base = _ascii_base(text)
-    return F.when(F.rlike(base, F.lit(ARABIC_BLOCK)), F.lit("")).otherwise(
-        F.trim(F.regexp_replace(base, "[^a-z0-9]+", " "))
-    )
+    return _if_latin(text, lambda t: F.trim(F.regexp_replace(t, "[^a-z0-9]+", " ")))
 
 
 # Spellings of the volume units, longest first.
@@ -103,13 +107,21 @@ def normalise_size(text: Column) -> Column:
         t = F.regexp_replace(t, spelling, unit)
     t = F.regexp_replace(t, r"\s+", "")
     found = r"(\d+(?:\.\d+)?)(ml|cc|cl|l)\b"
-    amount = F.regexp_extract(t, found, 1).try_cast("double")
-    unit = F.regexp_extract(t, found, 2)
-    factor = F.when(unit == "l", F.lit(1000.0)).when(unit == "cl", F.lit(10.0)).otherwise(F.lit(1.0))
-    ml = F.bround(amount * factor).cast("long")
-    litres = F.regexp_replace((ml / 1000).cast("decimal(20,3)").cast("string"), r"\.?0+$", "")
-    return (
-        F.when(ml.isNull() | (ml <= 0), F.lit(""))
-        .when(ml < 1000, F.concat(ml.cast("string"), F.lit("ml")))
-        .otherwise(F.concat(litres, F.lit("L")))
-    )
+
+    def millilitres(text: Column) -> Column:
+        unit = F.regexp_extract(text, found, 2)
+        factor = (
+            F.when(unit == "l", F.lit(1000.0)).when(unit == "cl", F.lit(10.0)).otherwise(F.lit(1.0))
+        )
+        amount = F.regexp_extract(text, found, 1).try_cast("double")
+        return F.bround(amount * factor).cast("long")
+
+    def shown(ml: Column) -> Column:
+        litres = F.regexp_replace((ml / 1000).cast("decimal(20,3)").cast("string"), r"\.?0+$", "")
+        return (
+            F.when(ml.isNull() | (ml <= 0), F.lit(""))
+            .when(ml < 1000, F.concat(ml.cast("string"), F.lit("ml")))
+            .otherwise(F.concat(litres, F.lit("L")))
+        )
+
+    return let(let(t, millilitres), shown)

@@ -50,7 +50,8 @@ def _core_distances(reps: DataFrame, k: int, limits: Limits) -> DataFrame:
 def _block_pairs(points: DataFrame, eps: float, limits: Limits) -> DataFrame:
     """Every point copied to each pair of blocks it may have neighbours in: adds pair, side."""
     spark = points.sparkSession
-    sample = points.orderBy(F.xxhash64("rep"), "rep").limit(limits.pivots).select("vec").toPandas()
+    n_pivots = limits.pivots_for(points.count())
+    sample = points.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("vec").toPandas()
     pivots = unit_rows(as_matrix(sample["vec"]))
     reach = float(np.arccos(np.clip(1.0 - eps, -1.0, 1.0)))
 

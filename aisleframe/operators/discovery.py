@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ordered_unique
+from ..functions.scalars import let, ordered_unique
 from ..functions.text import clean_words, compact_token, normalise_size
 
 # Flavour vocabulary.
@@ -43,19 +43,31 @@ FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
 def response_object(text: Column) -> Column:
     """struct<json, error>: the JSON object inside a model response, or why there is none."""
     cleaned = F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), FENCE, ""))
-    inner = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
-    whole_ok = F.try_parse_json(cleaned).isNotNull()
-    body = F.when(whole_ok, cleaned).otherwise(inner)
-    kind = F.schema_of_variant(F.try_parse_json(body))
-    is_object = F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
-    error = (
-        F.when(cleaned == "", F.lit("empty response"))
-        .when(is_object, F.lit(None).cast("string"))
-        .when(body == "", F.lit("no JSON found"))
-        .when(kind.isNull(), F.lit("malformed JSON"))
-        .otherwise(F.lit("not a JSON object"))
-    )
-    return F.struct(F.when(is_object, body).alias("json"), error.alias("error"))
+
+    def locate(c: Column) -> Column:
+        return F.struct(c.alias("clean"), F.regexp_extract(c, r"(?s)\{.*\}", 0).alias("inner"))
+
+    def parse(c: Column) -> Column:
+        kind = lambda part: F.schema_of_variant(F.try_parse_json(part))
+        whole = kind(c["clean"])
+        return F.struct(
+            F.when(whole.isNotNull(), c["clean"]).otherwise(c["inner"]).alias("body"),
+            F.coalesce(whole, kind(c["inner"])).alias("kind"),
+            c["clean"].alias("clean"),
+        )
+
+    def answer(c: Column) -> Column:
+        is_object = F.coalesce(F.startswith(c["kind"], F.lit("OBJECT")), F.lit(False))
+        error = (
+            F.when(c["clean"] == "", F.lit("empty response"))
+            .when(is_object, F.lit(None).cast("string"))
+            .when(c["body"] == "", F.lit("no JSON found"))
+            .when(c["kind"].isNull(), F.lit("malformed JSON"))
+            .otherwise(F.lit("not a JSON object"))
+        )
+        return F.struct(F.when(is_object, c["body"]).alias("json"), error.alias("error"))
+
+    return let(let(let(cleaned, locate), parse), answer)
 
 
 def parse_responses(rows: DataFrame, text: str, schema) -> tuple[DataFrame, DataFrame]:
@@ -68,11 +80,6 @@ def parse_responses(rows: DataFrame, text: str, schema) -> tuple[DataFrame, Data
     return good.drop("_r"), bad.drop("_r")
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``, instead of repeating its expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -101,7 +108,7 @@ def fruits_in(words: Column) -> Column:
             F.filter(_literals([f for f in FRUITS if f not in special]), has),
         )
 
-    return ordered_unique(_let(words, found))
+    return ordered_unique(let(words, found))
 
 
 def extract_fruits(text: Column) -> Column:
@@ -169,7 +176,7 @@ def canonical_flavour(words: Column, given: Column, fruits: Column) -> Column:
 
     every = ordered_unique(F.concat(F.coalesce(fruits, _no_text()), fruits_in(words)))
     case = F.struct(words.alias("words"), given.alias("given"), every.alias("every"))
-    return _let(case, decide)
+    return let(case, decide)
 
 
 def flavour(text: Column, fruits: Column) -> Column:

@@ -463,13 +463,34 @@ def store_brand_share(obs: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def missing_products(obs: DataFrame, products: DataFrame) -> DataFrame:
-    """Products of the brands a store carries that the store itself was never seen with."""
-    seen = obs.select("store_id", "product_id").distinct()
-    dim = products.select("product_id", "brand_id")
-    present = seen.join(dim, "product_id").select("store_id", "brand_id").distinct()
-    return present.join(dim, "brand_id").join(seen, ["store_id", "product_id"], "left_anti").select(
-        "store_id", "product_id", "brand_id"
+def missing_products(obs: DataFrame, products: DataFrame, chunk: int = 50_000) -> DataFrame:
+    """Products of the brands a store carries that the store itself was never seen with.
+
+    Brand catalogues and seen products are compared as arrays of bounded length (a brand is cut
+    into hashed chunks), so the long result is unpacked in place and never shuffled.
+    """
+    chunks = max(1, -(-products.count() // chunk))
+    dim = products.select(
+        "product_id",
+        "brand_id",
+        F.pmod(F.xxhash64("product_id"), F.lit(chunks)).cast("int").alias("chunk"),
+    )
+    seen = obs.select("store_id", "product_id").distinct().join(dim, "product_id")
+    seen_chunks = seen.groupBy("store_id", "brand_id", "chunk").agg(
+        F.collect_list("product_id").alias("seen")
+    )
+    catalogue = dim.groupBy("brand_id", "chunk").agg(F.collect_list("product_id").alias("all"))
+    present = seen_chunks.select("store_id", "brand_id").distinct()
+    return (
+        present.join(catalogue, "brand_id")
+        .join(seen_chunks, ["store_id", "brand_id", "chunk"], "left")
+        .select(
+            "store_id",
+            F.explode(
+                F.when(F.col("seen").isNull(), F.col("all")).otherwise(F.array_except("all", "seen"))
+            ).alias("product_id"),
+            "brand_id",
+        )
     )
 
 
@@ -492,7 +513,9 @@ def distribution_opportunities(
         .join(pairs.select("product_id", "store_id"), ["product_id", "store_id"], "left_anti")
     )
     found = around.groupBy("store_id", "product_id").agg(
-        F.sum("count").alias("nearby_count"), F.countDistinct("store_name").alias("nearby_stores")
+        F.sum("count").alias("nearby_count"),
+        # At most n_stores names.
+        F.size(F.collect_set("store_name")).cast("long").alias("nearby_stores"),
     )
     order = Window.partitionBy("store_id").orderBy(F.col("nearby_count").desc(), "product_id")
     return (

@@ -69,11 +69,17 @@ class GreatCircle:
 
 @dataclass(frozen=True)
 class Limits:
-    """Size knobs; tests shrink them to drive the distributed path on small tables."""
+    """Size knobs; tests shrink them to drive the distributed path on small tables.
+
+    ``pivots`` is the most that are used; a smaller table gets about one per block.
+    """
 
     broadcast_bytes: int = BROADCAST_BYTES
     block_rows: int = 4096
-    pivots: int = 128
+    pivots: int = 1024
+
+    def pivots_for(self, rows: int) -> int:
+        return max(1, min(self.pivots, -(-rows // self.block_rows)))
 
 
 def _ranked_hits(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +175,7 @@ def knn_join(
     if n_refs * (dim + 4) * 8 <= limits.broadcast_bytes:
         hits = _broadcast_join(q, r, k, measure, exclude, far, out)
     else:
-        hits = _pivot_join(q, r, k, measure, exclude, far, out, limits)
+        hits = _pivot_join(q, r, k, measure, exclude, far, out, limits, n_refs)
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "rid")
     return (
         hits.withColumn("rank", F.row_number().over(order))
@@ -193,9 +199,9 @@ def _broadcast_join(q, r, k, measure, exclude, far, out) -> DataFrame:
     return q.mapInPandas(search, out)
 
 
-def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits) -> DataFrame:
+def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int) -> DataFrame:
     spark = q.sparkSession
-    sample = r.orderBy(F.xxhash64("rid"), "rid").limit(limits.pivots).select("vec").toPandas()
+    sample = r.orderBy(F.xxhash64("rid"), "rid").limit(limits.pivots_for(n_refs)).select("vec").toPandas()
     pivots = measure.prepare(as_matrix(sample["vec"]))
 
     rid_type = r.schema["rid"].dataType.simpleString()
