@@ -294,8 +294,8 @@ def k_distance_percentiles(
 
 def largest_jump(distances: DataFrame) -> DataFrame:
     """Largest step between consecutive sorted distances: from, to, jump, 1-based position, total."""
-    ranked = value_counts_ranked(distances, "d").where("value is not null")
-    total = distances.agg(F.count("d").alias("total"))
+    ranked = value_counts_ranked(distances, "d")
+    total = ranked.agg(F.sum("n").alias("total"))
     # Equal values differ by zero, so a positive step always leaves the last copy of a value.
     step = ranked.where("next_value is not null").select(
         F.col("value").alias("d_from"),

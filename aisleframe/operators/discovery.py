@@ -37,6 +37,15 @@ MAX_RESULTS = 30
 SNIPPET_LENGTH = 1400
 VERIFIED_ABOVE, PARTIAL_ABOVE = 0.7, 0.55
 
+# Reasons and notes written with a result.
+NO_CANDIDATE = "The first VLM pass could not form a useful candidate."
+NO_BRAND = "Brand identity could not be narrowed to a usable candidate set."
+NO_BRAND_NOTE = "No usable brand candidate was produced."
+REJECTED = "Final verification rejected the candidate."
+BAD_BRAND = "Final brand could not be normalized safely."
+BAD_FLAVOUR = "Final flavor could not be normalized safely."
+BAD_SIZE = "Final package size could not be normalized safely."
+
 FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
 
 
@@ -464,10 +473,10 @@ def resolve(cases: DataFrame) -> DataFrame:
     size = _first_filled(late(F.col("_size")), F.col("_size_r"), F.col("_size_i"))
     missing = F.filter(
         F.array(
-            F.when(F.col("_brand") == "", F.lit("Final brand could not be normalized safely.")),
-            F.when(F.col("_flavor") == "", F.lit("Final flavor could not be normalized safely.")),
+            F.when(F.col("_brand") == "", F.lit(BAD_BRAND)),
+            F.when(F.col("_flavor") == "", F.lit(BAD_FLAVOUR)),
             F.when(
-                F.col("_size") == "", F.lit("Final package size could not be normalized safely.")
+                F.col("_size") == "", F.lit(BAD_SIZE)
             ),
         ),
         lambda m: m.isNotNull(),
@@ -496,20 +505,20 @@ def resolve(cases: DataFrame) -> DataFrame:
             no_brand,
             F.concat(
                 texts("initial.conflicts"),
-                F.array(F.lit("No usable brand candidate was produced.")),
+                F.array(F.lit(NO_BRAND_NOTE)),
             ),
         )
         .otherwise(F.concat(texts("initial.conflicts"), stage_conflicts, missing))
     )
     reason = (
-        F.when(no_candidate, F.lit("The first VLM pass could not form a useful candidate."))
+        F.when(no_candidate, F.lit(NO_CANDIDATE))
         .when(
             no_brand,
-            F.lit("Brand identity could not be narrowed to a usable candidate set."),
+            F.lit(NO_BRAND),
         )
         .otherwise(
             _first_filled(
-                F.col("verification.reason"), F.lit("Final verification rejected the candidate.")
+                F.col("verification.reason"), F.lit(REJECTED)
             )
         )
     )

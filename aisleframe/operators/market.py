@@ -162,11 +162,12 @@ def brand_share(
 
 
 def _with_shares(rows: DataFrame) -> DataFrame:
-    total = rows.agg(F.sum("facings").alias("_tf"), F.sum("area").alias("_ta"))
-    return rows.join(F.broadcast(total)).select(
+    # One row per brand, so a single window task holds the brand list.
+    everything = Window.partitionBy(F.lit(0))
+    return rows.select(
         *rows.columns,
-        percent(F.col("facings"), F.col("_tf")).alias("facings_pct"),
-        percent(F.col("area"), F.col("_ta")).alias("area_pct"),
+        percent(F.col("facings"), F.sum("facings").over(everything)).alias("facings_pct"),
+        percent(F.col("area"), F.sum("area").over(everything)).alias("area_pct"),
     )
 
 

@@ -204,6 +204,13 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int
     sample = r.orderBy(F.xxhash64("rid"), "rid").limit(limits.pivots_for(n_refs)).select("vec").toPandas()
     pivots = measure.prepare(as_matrix(sample["vec"]))
 
+    # Of identical references only the smallest ids can be among the best k, so a crowd of copies
+    # shrinks before it is placed; the limit is applied map-side first.
+    need = k + 1 if exclude == "self" else k
+    tagged = exclude in ("tag", "other")
+    copies_of = Window.partitionBy("vec", *(["tag"] if tagged else [])).orderBy("rid")
+    r = r.withColumn("i", F.row_number().over(copies_of)).where(F.col("i") <= need).drop("i")
+
     rid_type = r.schema["rid"].dataType.simpleString()
     label_type = r.schema["label"].dataType.simpleString()
     tag_type = r.schema["tag"].dataType.simpleString()
@@ -215,15 +222,12 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int
                 cell = d.argmin(axis=1)
                 yield b.assign(cell=cell.astype("int32"), d=d[np.arange(len(b)), cell])
 
+    vec_type = dict(r.dtypes)["vec"]
     placed = r.mapInPandas(
         assign,
-        f"rid {rid_type}, label {label_type}, tag {tag_type}, vec array<double>, cell int, d double"
-        if dict(r.dtypes)["vec"] == "array<double>"
-        else f"rid {rid_type}, label {label_type}, tag {tag_type}, vec array<float>, cell int, d double",
+        f"rid {rid_type}, label {label_type}, tag {tag_type}, vec {vec_type}, cell int, d double",
     )
     # Per cell: size, radius, and the few smallest pivot distances. Bounded by pivots x tags x k.
-    need = k + 1 if exclude == "self" else k
-    tagged = exclude in ("tag", "other")
     by_tag = ["cell", "tag"] if tagged else ["cell"]
     nearest = (
         placed.withColumn("i", F.row_number().over(Window.partitionBy(*by_tag).orderBy("d")))

@@ -78,7 +78,12 @@ def value_counts_ranked(df: DataFrame, col: str, buckets: int = 256) -> DataFram
     Equal values collapse before sorting, then value ranges are ranked separately and shifted by
     the total of the earlier ranges. Columns: value, n, first_pos, next_value.
     """
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # The counts are read several times below, the input only once.
+    counts = durable(
+        df.where(F.col(col).isNotNull())
+        .groupBy(F.col(col).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.select(F.percentile_approx("value", probs, 10000)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -117,14 +122,14 @@ def value_counts_ranked(df: DataFrame, col: str, buckets: int = 256) -> DataFram
 def exact_percentiles(df: DataFrame, col: str, percents: Sequence[float]) -> DataFrame:
     """Linear-interpolation percentiles, exact, without one task holding every value."""
     ranked = value_counts_ranked(df, col)
-    total = df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
+    total = ranked.agg(F.sum("n").alias("total"))
     wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "pct double")
     spot = wanted.join(F.broadcast(total)).select(
         "pct",
         (F.col("pct") / 100 * (F.col("total") - 1)).alias("_pos"),
     )
     spot = spot.select("pct", "_pos", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"))
-    hit = ranked.where("value is not null").join(
+    hit = ranked.join(
         F.broadcast(spot),
         (F.col("first_pos") - 1 <= F.col("_hi"))
         & (F.col("first_pos") - 1 + F.col("n") > F.col("_lo")),
