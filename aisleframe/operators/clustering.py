@@ -31,9 +31,11 @@ def _collapse(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, rows
 
 
-def _core_distances(reps: DataFrame, k: int, limits: Limits) -> DataFrame:
+def _core_distances(
+    reps: DataFrame, k: int, limits: Limits, queries: DataFrame | None = None
+) -> DataFrame:
     """Distance to the k-th neighbour, the point itself and its copies included."""
-    q = reps.select(F.col("rep").alias("qid"), "vec")
+    q = (reps if queries is None else queries).select(F.col("rep").alias("qid"), "vec")
     r = reps.select(F.col("rep").alias("rid"), "vec", F.col("weight").alias("label"))
     hits = knn_join(q, r, k, limits=limits)
     seen = F.sum("label").over(
@@ -47,62 +49,126 @@ def _core_distances(reps: DataFrame, k: int, limits: Limits) -> DataFrame:
     )
 
 
-def _block_pairs(points: DataFrame, eps: float, limits: Limits) -> DataFrame:
-    """Every point copied to each pair of blocks it may have neighbours in: adds pair, side."""
-    spark = points.sparkSession
-    n_pivots = limits.pivots_for(points.count())
-    sample = points.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("vec").toPandas()
-    pivots = unit_rows(as_matrix(sample["vec"]))
-    reach = float(np.arccos(np.clip(1.0 - eps, -1.0, 1.0)))
+def _cores_at(
+    reps: DataFrame, pivots: np.ndarray, eps: float, k: int, limits: Limits
+) -> DataFrame:
+    """Points with a core value of at most ``eps`` exactly when they are core points: rep, vec, core.
+
+    Points of an inner ball that weighs enough are core points without a neighbour search.
+    """
+    placed = durable(_place(reps, pivots).withColumn("ball", _in_ball(eps)))
+    crowd = placed.where("ball").groupBy("cell").agg(F.sum("weight").alias("_w")).where(
+        F.col("_w") >= k
+    )
+    marked = placed.join(crowd, "cell", "left")
+    sure = F.col("ball") & F.col("_w").isNotNull()
+    open_ = marked.where(~sure).select("rep", "vec")
+    found = _core_distances(reps, k, limits, open_)
+    inf = F.lit(float("inf"))
+    return durable(
+        marked.join(found, "rep", "left").select(
+            "rep", "vec", F.when(sure, F.lit(0.0)).otherwise(F.coalesce("core", inf)).alias("core")
+        )
+    )
+
+
+def _choose_pivots(points: DataFrame, limits: Limits) -> np.ndarray:
+    n = limits.pivots_for(points.count())
+    sample = points.orderBy(F.xxhash64("rep"), "rep").limit(n).select("vec").toPandas()
+    return unit_rows(as_matrix(sample["vec"]))
+
+
+def _reach(eps: float) -> float:
+    """Angle that belongs to a cosine distance."""
+    return float(np.arccos(np.clip(1.0 - eps, -1.0, 1.0)))
+
+
+def _angles(vec: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit_rows(as_matrix(vec)) @ pivots.T, -1.0, 1.0))
+
 
-    def angles(vec: pd.Series) -> np.ndarray:
-        return np.arccos(np.clip(unit_rows(as_matrix(vec)) @ pivots.T, -1.0, 1.0))
+def _place(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the nearest pivot (cell) and the angle to it (d)."""
 
     def place(batches):
         for b in batches:
             if len(b):
-                d = angles(b["vec"])
+                d = _angles(b["vec"], pivots)
                 cell = d.argmin(axis=1)
                 yield b.assign(cell=cell.astype("int32"), d=d[np.arange(len(b)), cell])
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    placed = points.mapInPandas(place, f"{ddl}, cell int, d double")
+    return points.mapInPandas(place, f"{_ddl(points)}, cell int, d double")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _in_ball(eps: float):
+    """Points this near to one pivot are all within ``eps`` of each other."""
+    return F.col("d") <= F.lit(_reach(eps) / 2 - SLACK)
+
+
+def _block_pairs(
+    points: DataFrame, eps: float, limits: Limits, pivots: np.ndarray, ball=None
+) -> DataFrame:
+    """Every point copied to each pair of blocks it may have neighbours in: adds block, pair, side.
+
+    With ``ball`` (a condition on the points) the points of one cell's inner ball get blocks of
+    their own, and such blocks of a cell are not paired: the caller already knows that their points
+    are mutual neighbours. A crowd of near copies then costs nothing against itself.
+    """
+    reach = _reach(eps)
+    inner = F.lit(False) if ball is None else (_in_ball(eps) & ball)
+    placed = _place(points, pivots).withColumn("ball", F.coalesce(inner, F.lit(False)))
     cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")
+        F.count_if(F.col("ball")).alias("balls"),
+        F.count_if(~F.col("ball")).alias("loose"),
+        F.max("d").alias("radius"),
     ).toPandas()
     radius = np.full(len(pivots), -np.inf)
     radius[cells["cell"]] = cells["radius"]
-    blocks = np.zeros(len(pivots), dtype="int64")
-    blocks[cells["cell"]] = -(-cells["n"] // limits.block_rows)
+    nb, nl = np.zeros((2, len(pivots)), dtype="int64")
+    nb[cells["cell"]] = -(-cells["balls"] // limits.block_rows)
+    nl[cells["cell"]] = -(-cells["loose"] // limits.block_rows)
+    blocks = nb + nl
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
     total = int(blocks.sum())
-    layout = spark.createDataFrame(
-        [(int(c), int(blocks[c]), int(first[c])) for c in cells["cell"]],
-        "cell int, blocks long, first long",
+    layout = points.sparkSession.createDataFrame(
+        [(int(c), int(nb[c]), int(nl[c]), int(first[c])) for c in cells["cell"]],
+        "cell int, nb long, nl long, first long",
     )
+    spread = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1)))
     # One row per pivot.
-    salted = placed.join(F.broadcast(layout), "cell").withColumn(
-        "block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    ).drop("first", "blocks", "d", "cell")
+    salted = placed.join(F.broadcast(layout), "cell").select(
+        *points.columns,
+        "cell",
+        "ball",
+        (
+            F.col("first")
+            + F.when(F.col("ball"), spread("nb")).otherwise(F.col("nb") + spread("nl"))
+        ).alias("block"),
+    )
 
     def route(batches):
         for b in batches:
             if not len(b):
                 continue
-            open_ = (angles(b["vec"]) - radius[None, :] <= reach + SLACK) & (blocks > 0)[None, :]
+            open_ = (_angles(b["vec"], pivots) - radius[None, :] <= reach + SLACK) & (blocks > 0)
             rows, cols = open_.nonzero()
-            copies = blocks[cols]
-            rows, cols = np.repeat(rows, copies), np.repeat(cols, copies)
-            step = np.arange(len(cols)) - np.repeat(np.cumsum(copies) - copies, copies)
+            own_ball = b["ball"].to_numpy()[rows] & (b["cell"].to_numpy()[rows] == cols)
+            start = first[cols] + np.where(own_ball, nb[cols], 0)
+            copies = np.where(own_ball, nl[cols], blocks[cols])
+            step = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            rows, other = np.repeat(rows, copies), np.repeat(start, copies) + step
             own = b["block"].to_numpy()[rows]
-            other = first[cols] + step
-            got = b.iloc[rows].copy()
+            got = b.iloc[rows].drop(columns=["cell", "ball"])
             lo, hi = np.minimum(own, other), np.maximum(own, other)
             got["pair"] = lo * total + hi
             got["side"] = (own != lo).astype("int32")
             yield got
 
-    return salted.mapInPandas(route, f"{ddl}, block long, pair long, side int")
+    return salted.mapInPandas(route, f"{_ddl(points)}, block long, pair long, side int")
 
 
 def _forest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,14 +194,20 @@ def _forest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(us, dtype=int), np.asarray(vs, dtype=int), np.asarray(ws)
 
 
-def reachability_forest(points: DataFrame, eps: float, limits: Limits = BLOCK) -> DataFrame:
+def reachability_forest(
+    points: DataFrame, eps: float, limits: Limits = BLOCK, pivots: np.ndarray | None = None
+) -> DataFrame:
     """Edges (u, v, d) whose components at any radius up to ``eps`` are those of all close pairs.
 
-    ``points(rep, vec, core)``; d is the mutual reachability distance.
+    ``points(rep, vec, core)``; d is the mutual reachability distance. With ``pivots`` the edges
+    hold for ``eps`` alone and the inner balls around them are linked to their smallest id.
     """
     id_type = points.schema["rep"].dataType.simpleString()
     near = points.where(F.col("core") <= eps)
-    routed = _block_pairs(near, eps, limits)
+    if pivots is None:
+        routed = _block_pairs(near, eps, limits, _choose_pivots(near, limits))
+    else:
+        routed = _block_pairs(near, eps, limits, pivots, ball=F.lit(True))
 
     def forest(g: pd.DataFrame) -> pd.DataFrame:
         m = unit_rows(as_matrix(g["vec"]))
@@ -154,6 +226,11 @@ def reachability_forest(points: DataFrame, eps: float, limits: Limits = BLOCK) -
         )
 
     edges = routed.groupBy("pair").applyInPandas(forest, f"u {id_type}, v {id_type}, d double")
+    if pivots is not None:
+        members = _place(near, pivots).where(_in_ball(eps)).select("cell", "rep")
+        heads = members.groupBy("cell").agg(F.min("rep").alias("v"))
+        links = members.join(heads, "cell").where(F.col("rep") != F.col("v"))
+        edges = edges.unionByName(links.select(F.col("rep").alias("u"), "v", F.lit(eps).alias("d")))
     return edges.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(
         F.min("d").alias("d")
     )
@@ -206,10 +283,11 @@ def dbscan(
 ) -> DataFrame:
     """Cluster of every point: id, cluster (smallest core id of the cluster, null for noise)."""
     reps, rows = _collapse(points)
-    core = durable(reps.join(_core_distances(reps, min_samples, limits), "rep", "left"))
-    core = core.na.fill(float("inf"), ["core"])
+    reps = durable(reps)
+    pivots = _choose_pivots(reps, limits)
+    core = _cores_at(reps, pivots, eps, min_samples, limits)
     dense = core.where(F.col("core") <= eps)
-    forest = reachability_forest(core, eps, limits)
+    forest = reachability_forest(core, eps, limits, pivots)
     comp = connected_components(forest.select("u", "v"))
     labelled = dense.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", "vec", F.coalesce("component", "rep").alias("cluster")
@@ -217,16 +295,18 @@ def dbscan(
     out = labelled
     if min_samples > 2:
         labelled = durable(labelled)
-        border = _border(core.where(F.col("core") > eps), labelled, eps, limits)
+        border = _border(core.where(F.col("core") > eps), labelled, eps, limits, pivots)
         out = labelled.unionByName(border)
     return rows.join(out.select("vec", "cluster"), "vec", "left").select("id", "cluster")
 
 
-def _border(loose: DataFrame, labelled: DataFrame, eps: float, limits: Limits) -> DataFrame:
+def _border(
+    loose: DataFrame, labelled: DataFrame, eps: float, limits: Limits, pivots: np.ndarray
+) -> DataFrame:
     """Non-core points beside a core point join the smallest such cluster."""
     none = F.lit(None).cast(labelled.schema["cluster"].dataType)
     both = labelled.unionByName(loose.select("rep", "vec", none.alias("cluster")))
-    routed = _block_pairs(both, eps, limits)
+    routed = _block_pairs(both, eps, limits, pivots, ball=F.col("cluster").isNotNull())
     id_type = labelled.schema["rep"].dataType.simpleString()
 
     def adopt(g: pd.DataFrame) -> pd.DataFrame:

@@ -244,6 +244,19 @@ def test_dbscan_matches_brute_force(spark, limits, min_samples):
     assert [got[i] for i in range(len(m))] == _dbscan(m, 0.02, min_samples).tolist()
 
 
+@pytest.mark.parametrize("min_samples", [2, 5])
+def test_dbscan_with_a_crowd_of_near_copies(spark, min_samples):
+    rng = np.random.default_rng(21)
+    m = _vectors(120, 4, 22)
+    m[:60] = m[0] + 0.01 * rng.normal(size=(60, 4))
+    m[60:64] = m[0] + 0.15 * rng.normal(size=(4, 4))
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+    got = clustering.number_clusters(clustering.dbscan(df, 0.02, min_samples, TINY))
+    got = {r["id"]: r["cluster_id"] for r in got.collect()}
+    assert [got[i] for i in range(len(m))] == _dbscan(m, 0.02, min_samples).tolist()
+
+
 def test_purity_and_rand(spark):
     rows = [(t, c) for t, c in zip("xxxyyz", [0, 0, 1, 1, 1, -1])]
     table = clustering.contingency(spark.createDataFrame(rows, "truth string, cluster_id long"))
