@@ -56,7 +56,7 @@ def _cores_at(
 
     Points of an inner ball that weighs enough are core points without a neighbour search.
     """
-    placed = durable(_place(reps, pivots).withColumn("ball", _in_ball(eps)))
+    placed = _place(reps, pivots).withColumn("ball", _in_ball(eps))
     crowd = placed.where("ball").groupBy("cell").agg(F.sum("weight").alias("_w")).where(
         F.col("_w") >= k
     )
