@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, exact_dedup, simhash
+from aisleframe.llm import bpe, exact_dedup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op10(spark, folder):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_ordinal_toxicity")
+def op7(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.scored(docs, toxicity.fit(docs, labels))
