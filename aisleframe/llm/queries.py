@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, exact_dedup, simhash, toxicity
+from aisleframe.llm import bpe, decontam, exact_dedup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op10(spark, folder):
 def op7(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return toxicity.scored(docs, toxicity.fit(docs, labels))
+
+
+@query("op1_spaced_seed_decontamination")
+def op1(spark, folder):
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
