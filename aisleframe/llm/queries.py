@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, decontam, exact_dedup, simhash, toxicity
+from aisleframe.llm import bpe, decontam, exact_dedup, pii, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,30 @@ def op7(spark, folder):
 @query("op1_spaced_seed_decontamination")
 def op1(spark, folder):
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def span_columns(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts by base kind, the digest of the base spans, and all spans as text."""
+    line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    own = F.filter("spans", lambda x: x["kind"].isin(*base))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in base]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(F.array_join(F.transform(own, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+    )
+
+
+@query("op8_anchored_pii")
+def op8(spark, folder):
+    return span_columns(pii.personal_data(table(spark, folder, "documents")), pii.BASE)
+
+
+@query("op4_blob_ledger_secrets")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    return span_columns(secrets.findings(docs, secrets.extended(docs)), secrets.BASE)
