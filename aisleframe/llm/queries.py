@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, decontam, exact_dedup, pii, secrets, simhash, toxicity
+from aisleframe.llm import bpe, chat, decontam, exact_dedup, pii, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,13 @@ def op8(spark, folder):
 def op4(spark, folder):
     docs = table(spark, folder, "documents")
     return span_columns(secrets.findings(docs, secrets.extended(docs)), secrets.BASE)
+
+
+@query("op6_prefix_target_chat")
+def op6(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema
+    )
+    return chat.read_back(chat.pieces(turns.unionByName(more)))
