@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, chat, decontam, exact_dedup, pii, secrets, simhash, toxicity
+from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, pii, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,9 @@ def op6(spark, folder):
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema
     )
     return chat.read_back(chat.pieces(turns.unionByName(more)))
+
+
+@query("op2_host_suffix_array")
+def op2(spark, folder):
+    found = extract.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
