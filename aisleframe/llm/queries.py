@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, pii, secrets, simhash, toxicity
+from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, pii, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,18 @@ def op6(spark, folder):
 def op2(spark, folder):
     found = extract.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def held_out(doc_id="doc_id"):
+    """Rows that no label is learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+@query("op3_crf_quality")
+def op3(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality.scored(docs, quality.fit(docs, labels, learn=~held_out()))
+    return found.select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
