@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from aisleframe.llm.common import Rows, slices, whole_text
 
-WINDOW = 32
+GEAR = np.random.default_rng(17).integers(0, 2**32, 256, dtype=np.uint32)
 MASK_BITS = 11  # chunks of 2 KB on average
 LEAST, MOST = 256, 16384
 # Text of the chunks that are encoded ahead for all tasks, and their number.
@@ -44,16 +44,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def rolling(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Hash of the ``window`` bytes that end at each position, by doubling; shorter at the start."""
-    mix = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mix ^= mix >> np.uint64(29)
-    mix *= np.uint64(0xBF58476D1CE4E5B9)
-    h = mix[data]
-    factor, step = 0x2545F4914F6CDD1D, 1
-    while step < window:
-        h[step:] += h[:-step] * np.uint64(factor) if step < len(h) else np.uint64(0)
-        factor, step = factor * factor % 2**64, step * 2
+def rolling(data: np.ndarray) -> np.ndarray:
+    """Gear hash: byte values from a fixed table, shifted one bit for each byte that follows, so the
+    last 32 bytes count. Built by doubling the window instead of byte by byte."""
+    h = GEAR[data]
+    for step in (1, 2, 4, 8, 16):
+        h[step:] += h[:-step] << np.uint32(step)
     return h
 
 
@@ -67,7 +63,8 @@ def cuts(text: bytes, bits: int = MASK_BITS, least: int = LEAST, most: int = MOS
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     starts = (data & 0xC0) != 0x80
     starts = np.append(starts[1:], True)  # a character begins after this byte
-    marks = np.flatnonzero(((h >> np.uint64(64 - bits)) == 0) & starts) + 1
+    marks = np.flatnonzero(h < np.uint32(1 << (32 - bits))) + 1
+    marks = marks[starts[marks - 1]]
     blanks = np.flatnonzero(blank)
     out, last = [], 0
     for end in [*marks.tolist(), n]:
@@ -122,44 +119,56 @@ class Encoder:
         # Letters for which library, regex module and Python agree in case and class.
         self.plain = regex.compile(r"[\x21-\x7eÀ-ɏ]*").fullmatch
         self.rule, self.shared = rule or {}, shared or {}
-        self.words: dict[bytes, tuple[bytes, bytes]] = {b"": (b"", b"")}
+        # Recent words and those before; what is asked for again moves to the recent ones.
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held: dict[bytes, tuple[bytes, bytes]] = {}
         self.held_bytes = 0
 
-    def result(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b"".join([self.names[i] for i in ids])
+    def named(self, ids: bytes) -> tuple[bytes, bytes]:
+        names = self.names
+        return ids, b"".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
-    def learn(self, words) -> None:
-        """Encode words that are not in memory yet."""
-        fresh = [w for w in set(words) if w not in self.words]
-        odd, model, letters = [], self.tok.model, self.letters
-        for w in fresh:
+    def learn(self, words: set[bytes]) -> None:
+        """Bring words into memory, those that are not there by encoding them."""
+        known, older = self.words, self.older
+        fresh, odd = {}, []
+        for w in words:
+            if w in known:
+                continue
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
             s = w.decode("utf-8", "replace")
             if b"<|" in w or not self.plain(s):
-                odd.append(w)
-                continue
-            ids = []
-            for piece in self.find(unicodedata.normalize("NFC", s).lower()):
-                ids += [t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]
-            self.words[w] = self.result(ids)
+                odd.append((w, s))
+            else:
+                fresh[w] = self.find(unicodedata.normalize("NFC", s).lower())
+        model, letters, coded = self.tok.model, self.letters, {}
+        for piece in {p for ps in fresh.values() for p in ps}:
+            got = model.tokenize("".join([letters[b] for b in piece.encode()]))
+            coded[piece] = b"".join([t.id.to_bytes(4, "little") for t in got])
+        for w, pieces in fresh.items():
+            known[w] = coded[pieces[0]] if len(pieces) == 1 else b"".join([coded[p] for p in pieces])
         if odd:
-            whole = self.tok.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in odd], add_special_tokens=False
-            )
-            for w, e in zip(odd, whole):
-                self.words[w] = self.result(e.ids)
+            whole = self.tok.encode_batch_fast([s for _, s in odd], add_special_tokens=False)
+            for (w, _), e in zip(odd, whole):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(known) > TASK_WORDS:
+            self.older, self.words = known, {w: known[w] for w in words}
 
-    def plainly(self, text: bytes) -> tuple[bytes, bytes]:
+    def plain_ids(self, text: bytes) -> bytes:
         """White space parts words for this tokenizer, so a text is its words in turn."""
         words = text.split()
         try:
-            found = [self.words[w] for w in words]
+            return b"".join([self.words[w] for w in words])
         except KeyError:
-            if len(self.words) > TASK_WORDS:
-                self.words = {b"": (b"", b"")}
-            self.learn(words)
-            found = [self.words[w] for w in words]
-        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+            self.learn(set(words))
+            return b"".join([self.words[w] for w in words])
+
+    def plainly(self, text: bytes) -> tuple[bytes, bytes]:
+        return self.named(self.plain_ids(text))
 
     def chunk(self, body: bytes) -> tuple[bytes, bytes]:
         got = self.shared.get(body) or self.held.get(body)
@@ -171,6 +180,11 @@ class Encoder:
             self.held_bytes += len(body) + len(got[0]) + len(got[1]) + 200
         return got
 
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Results of a slice of texts, whose new words are learnt together."""
+        self.learn({w for t in texts for w in t.split()})
+        return map(self.encode, texts)
+
     def join(self, left: bytes, right: bytes, a: tuple, b: tuple):
         """What the end of ``a`` and the start of ``b`` hold of the words around the join, and what
         these words encode to together; None when no number of words agrees."""
@@ -317,8 +331,8 @@ def tokens(
         out = Rows(pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()),
                               ("ids", pa.binary()), ("decoded", pa.string())]))
         for batch in slices(batches, "body"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-                ids, names = encoder.encode(text)
+            coded = encoder.encode_all(batch.column("body").to_pylist())
+            for doc, (ids, names) in zip(batch.column("doc_id").to_pylist(), coded):
                 if out.add(doc, len(ids) // 4, ids, names[:-1].decode(), size=len(ids) + len(names)):
                     yield out.take()
         if len(out):
