@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from ..functions.vectors import unit
 from ..model import K_DISTANCE_PERCENTILES
-from ..runtime import durable, exact_percentiles, value_counts_ranked
+from ..runtime import durable, exact_percentiles, forget, numbered, stored, value_counts_ranked
 from .neighbors import SLACK, Limits, as_matrix, knn_join, unit_rows
 
 BLOCK = Limits(block_rows=1024)
@@ -240,12 +240,13 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
     """Smallest reachable node per node: keys..., node, component.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in
-    MapReduce and Beyond", SoCC 2014), each cut through reliable storage.
+    MapReduce and Beyond", SoCC 2014), each cut through reliable storage; only the last round's
+    table is left there.
     """
     keys = list(keys)
-    cur = durable(
+    cur, path = stored(
         edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u <> v").distinct()
+        .where("u <> v").distinct(), "components"
     )
     mark = None
     while True:
@@ -265,7 +266,9 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
             .unionByName(floor.select(*keys, "u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        cur = durable(small)
+        old = path
+        cur, path = stored(small, "components")
+        forget(edges.sparkSession, old)
         now = cur.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))
         ).first()
@@ -333,9 +336,7 @@ def _border(
 def number_clusters(assignment: DataFrame) -> DataFrame:
     """Cluster ids 0, 1, ... by smallest member; -1 for noise."""
     heads = assignment.where("cluster is not null").select("cluster").distinct()
-    order = value_counts_ranked(heads, "cluster").select(
-        F.col("value").alias("cluster"), (F.col("first_pos") - 1).alias("cluster_id")
-    )
+    order = numbered(heads, "cluster", "cluster_id")
     return assignment.join(order, "cluster", "left").select(
         "id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id")
     )
@@ -400,7 +401,7 @@ def contingency(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def purity(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Share of clustered points in their cluster's majority group; NaN without any."""
     best = (
-        table.where(F.col("cluster_id") != -1)
+        table.where(~F.col("cluster_id").cast("string").isin("-1", NOISE))
         .groupBy(*keys, "cluster_id")
         .agg(F.max("n").alias("top"), F.sum("n").alias("n"))
     )
@@ -433,6 +434,14 @@ def adjusted_rand(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cell.join(rows, by).join(cols, by).select(*keys, value.alias("ari"))
 
 
+NOISE = "noise"
+
+
+def _mark(cluster: str):
+    """Cluster as text that no id of any type can confuse with noise."""
+    return F.coalesce(F.concat(F.lit("c"), F.col(cluster).cast("string")), F.lit(NOISE)).alias("cluster_id")
+
+
 def eps_sweep(
     points: DataFrame,
     truth: DataFrame,
@@ -450,7 +459,7 @@ def eps_sweep(
     pts = scored.select("id", "vec")
     if min_samples > 2:
         parts = [
-            number_clusters(dbscan(pts, e, min_samples, limits)).withColumn("eps", F.lit(e))
+            dbscan(pts, e, min_samples, limits).select("id", _mark("cluster")).withColumn("eps", F.lit(e))
             for e in grid
         ]
         labels = parts[0]
@@ -472,15 +481,14 @@ def eps_sweep(
         )
         cluster = F.when(F.col("core") <= F.col("eps"), F.coalesce("component", "rep"))
         at = at.select("eps", "vec", cluster.alias("_c"))
-        # -1 is free as a noise mark because ids are not negative.
         rows = (
             by_vec.join(at, "vec").join(truth.select("id", "truth"), "id")
-            .select("eps", "truth", F.coalesce("_c", F.lit(-1)).alias("cluster_id"))
+            .select("eps", "truth", _mark("_c"))
         )
     table = contingency(rows, ["eps"])
     sizes = table.groupBy("eps", "cluster_id").agg(F.sum("n").alias("n"))
     counts = sizes.groupBy("eps").agg(
-        F.count_if(F.col("cluster_id") != -1).alias("clusters"),
-        F.coalesce(F.sum(F.when(F.col("cluster_id") == -1, F.col("n"))), F.lit(0)).alias("noise"),
+        F.count_if(F.col("cluster_id") != NOISE).alias("clusters"),
+        F.coalesce(F.sum(F.when(F.col("cluster_id") == NOISE, F.col("n"))), F.lit(0)).alias("noise"),
     )
     return counts.join(adjusted_rand(table, ["eps"]), "eps").join(purity(table, ["eps"]), "eps")

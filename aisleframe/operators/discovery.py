@@ -281,19 +281,30 @@ def search_queries(rows: DataFrame, stage: str) -> DataFrame:
 
 
 def cap_results(
-    results: DataFrame, total: int = MAX_RESULTS, keys: tuple[str, ...] = (), cap: int | None = None
+    results: DataFrame,
+    total: int = MAX_RESULTS,
+    keys: tuple[str, ...] = (),
+    cap: int | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """First ``total / brands`` distinct results per brand in query order, empty ones dropped.
 
-    ``results(brand, query_pos, pos, title, url, snippet)``; ``keys`` scope a case.
+    ``results(brand, query_pos, pos, title, url, snippet)``; ``keys`` scope a case. The share counts
+    the brands of ``asked(keys..., brand)``, the queries that were sent, so a brand without hits
+    leaves the others' share alone; without it the brands that returned rows.
     """
-    clean = results.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "url", "snippet")})
+    # Bodies are cut before they travel.
+    results = results.withColumn("snippet", F.substring(F.trim("snippet"), 1, SNIPPET_LENGTH))
+    clean = results.withColumns({
+        **{c: F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "url")},
+        "snippet": F.coalesce("snippet", F.lit("")),
+    })
     clean = clean.where((F.col("title") != "") | (F.col("url") != "") | (F.col("snippet") != ""))
     marks = [F.lower("brand").alias("_b"), F.lower("url").alias("_u"), F.lower("title").alias("_t")]
     first = clean.select("*", *marks).groupBy(*keys, "_b", "_u", "_t").agg(
         F.min_by(F.struct(*clean.columns), F.struct("query_pos", "pos")).alias("r")
     ).select("r.*")
-    brands = results.select(*keys, "brand").distinct().groupBy(*keys).agg(
+    brands = (results if asked is None else asked).select(*keys, "brand").distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n")
     )
     limit = F.lit(cap) if cap else F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("_n")))
@@ -301,9 +312,7 @@ def cap_results(
     # The top `total` per brand are found map-side; the exact share per brand is cut afterwards.
     ranked = first.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= (cap or total))
     scoped = ranked.join(brands, list(keys)) if keys else ranked.join(F.broadcast(brands))
-    return scoped.where(F.col("_rn") <= limit).withColumn(
-        "snippet", F.substring("snippet", 1, SNIPPET_LENGTH)
-    ).drop("_rn", "_n")
+    return scoped.where(F.col("_rn") <= limit).drop("_rn", "_n")
 
 
 def web_support(results: DataFrame, keys: tuple[str, ...] = (), titles: int = 5) -> DataFrame:

@@ -192,10 +192,10 @@ def posteriors(
     queries: DataFrame,
     head: Head,
     model: str | None = None,
-    k: int = 5,
+    k: int | None = None,
     temperature: float = POSTERIOR_TEMPERATURE,
 ) -> DataFrame:
-    """Tempered posterior of the best ``k`` classes per crop: id, label, score, rank."""
+    """Tempered posterior of every class, or of the best ``k``, per crop: id, label, score, rank."""
     shipped = queries.sparkSession.sparkContext.broadcast(head.models)
     id_type = queries.schema["id"].dataType.simpleString()
 
@@ -209,7 +209,7 @@ def posteriors(
                 z = (as_matrix(g["vec"]) @ coef.T + bias) / temperature
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                keep = min(k, len(labels))
+                keep = len(labels) if k is None else min(k, len(labels))
                 order = np.argsort(-np.round(p, 12), axis=1, kind="stable")[:, :keep]
                 ids = np.repeat(g["id"].to_numpy(), keep)
                 yield pd.DataFrame(

@@ -118,7 +118,7 @@ def out_of_fold(
         head = fit(train, "model")
         if head is None:
             return match_knn(rows, rows, exclude="tag", limits=limits)
-        got = best_and_margin(posteriors(rows, head, "fold"))
+        got = best_and_margin(posteriors(rows, head, "fold", k=2))
         missing = [f for f in range(folds) if f not in head.models]
         if missing:
             rest = match_knn(

@@ -327,10 +327,11 @@ def competitors(
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _best_shared(a, b, n)
 
+    kind = pairs.schema["product_id"].dataType.simpleString()
     best = (
         left.groupBy("bl", "br")
         .cogroup(right.groupBy("bl", "br"))
-        .applyInPandas(rank, "product_id long, competitor_id long, stores long")
+        .applyInPandas(rank, f"product_id {kind}, competitor_id {kind}, stores long")
     )
     order = Window.partitionBy("product_id").orderBy(F.col("stores").desc(), "competitor_id")
     return (
@@ -342,9 +343,8 @@ def competitors(
 
 def _best_shared(a: pd.DataFrame, b: pd.DataFrame, n: int) -> pd.DataFrame:
     """Top ``n`` products of ``b`` for each product of ``a`` by shared stores."""
-    empty = pd.DataFrame(
-        {c: pd.Series(dtype="int64") for c in ("product_id", "competitor_id", "stores")}
-    )
+    kinds = {"product_id": a["product_id"].dtype, "competitor_id": a["product_id"].dtype, "stores": "int64"}
+    empty = pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in kinds.items()})
     if a.empty or b.empty:
         return empty
     shops = np.intersect1d(a["store_id"].unique(), b["store_id"].unique())
@@ -358,12 +358,13 @@ def _best_shared(a: pd.DataFrame, b: pd.DataFrame, n: int) -> pd.DataFrame:
     order_a = np.argsort(ia, kind="stable")
     ia, sa = ia[order_a], sa[order_a]
     cols = min(4096, len(shops))
-    rows = max(1, min(2048, 64_000_000 // max(1, len(pb_))))
+    rows = max(1, min(2048, 32_000_000 // max(1, len(pb_))))
     out = []
     for lo in range(0, len(pa_), rows):
         hi = min(lo + rows, len(pa_))
         start, stop = np.searchsorted(ia, [lo, hi])
-        shared = np.zeros((hi - lo, len(pb_)), dtype=np.float32)
+        # A product of one column block is at most `cols`, exact in float32; their sum is not.
+        shared = np.zeros((hi - lo, len(pb_)), dtype=np.float64)
         for c in range(0, len(shops), cols):
             in_a = (sa[start:stop] >= c) & (sa[start:stop] < c + cols)
             in_b = (sb >= c) & (sb < c + cols)
@@ -376,7 +377,7 @@ def _best_shared(a: pd.DataFrame, b: pd.DataFrame, n: int) -> pd.DataFrame:
         if len(pb_) > n:
             floor = -np.partition(-shared, n - 1, axis=1)[:, n - 1]
         else:
-            floor = np.zeros(hi - lo, dtype=np.float32)
+            floor = np.zeros(hi - lo)
         keep = (shared >= np.maximum(floor, 1)[:, None]).nonzero()
         got = pd.DataFrame(
             {
@@ -729,9 +730,9 @@ def expand_catalogue(
         .join(brand_sizes.withColumnRenamed("pos", "_ps"), "brand_id")
     )
     # A catalogue is as long as the maintained flavour and size lists, so one window is enough.
-    seq = F.row_number().over(Window.orderBy("_pb", "_pf", "_ps"))
+    seq = F.row_number().over(Window.orderBy("_pb", "_pf", "_ps")).cast("string")
     return rows.select(
-        F.concat(F.lit("P"), F.lpad(seq.cast("string"), 3, "0")).alias("product_id"),
+        F.concat(F.lit("P"), F.lpad(seq, F.greatest(F.lit(3), F.length(seq)), F.lit("0"))).alias("product_id"),
         F.concat_ws("-", F.upper(F.substring("short", 1, 2)), "flavor_code", "size_code").alias(
             "sku"
         ),

@@ -94,8 +94,12 @@ def match_knn(queries, refs, k=K_NEIGHBOURS, exclude="none", limits=Limits()) ->
     return vote(neighbours(queries, refs, k, exclude, limits))
 
 
-def class_ranking(queries: DataFrame, protos: DataFrame, k: int, limits=Limits()) -> DataFrame:
-    """Best ``k`` classes per crop by centroid cosine: id, label, score, rank."""
+def class_ranking(
+    queries: DataFrame, protos: DataFrame, k: int | None = None, limits=Limits()
+) -> DataFrame:
+    """Every class, or the best ``k``, per crop by centroid cosine: id, label, score, rank."""
+    if k is None:
+        k = max(1, protos.count())
     return knn_join(
         queries.withColumnRenamed("id", "qid"),
         protos.select(F.col("label").alias("rid"), "label", "vec"),
@@ -123,15 +127,20 @@ def match_prototype(queries: DataFrame, refs: DataFrame, limits=Limits()) -> Dat
 
 
 def top_matches(
-    queries: DataFrame, refs: DataFrame, k: int = 5, mode: str = "lda", head=None
+    queries: DataFrame, refs: DataFrame, k: int | None = 5, mode: str = "lda", head=None
 ) -> DataFrame:
-    """One row per class, best first: by posterior with a fitted head in lda, else by centroid."""
-    if mode == "lda" and head is not None:
-        from .discriminant import posteriors
+    """One row per class, best first, ``k`` of them or all: by posterior in lda, else by centroid.
+
+    Without ``head`` one is fitted on ``refs``; references that allow none are ranked by centroid.
+    """
+    k = k if k is None else max(1, k)
+    if mode == "lda":
+        from .discriminant import fit, posteriors
 
-        ranked = posteriors(queries, head)
-        return ranked.where(F.col("rank") <= max(1, k)).select("id", "label", "score", "rank")
-    return class_ranking(queries, prototypes(refs), max(1, k))
+        head = fit(refs) if head is None else head
+        if head is not None:
+            return posteriors(queries, head, k=k)
+    return class_ranking(queries, prototypes(refs), k)
 
 
 def match(
@@ -145,7 +154,7 @@ def match(
 
         head = fit(refs)
         if head is not None:
-            return best_and_margin(posteriors(queries, head))
+            return best_and_margin(posteriors(queries, head, k=2))
     return match_knn(queries, refs, exclude=exclude)
 
 

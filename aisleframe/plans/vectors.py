@@ -224,7 +224,7 @@ def fn02(spark, d):
 
     rows = b.crops(spark, d)
     protos = mt.prototypes(rows)
-    ranked = mt.class_ranking(rows.select("id", "vec"), protos, 10)
+    ranked = mt.class_ranking(rows.select("id", "vec"), protos)
     # One row per class and crop.
     w = Window.partitionBy("id")
     weighed = ranked.withColumn("w", softmax_weight(F.col("score"), F.max("score").over(w), 0.05))
@@ -265,7 +265,7 @@ FUSION = (
 
 def _candidates(spark, d):
     rows = b.crops(spark, d)
-    ranked = mt.class_ranking(rows.select("id", "vec"), mt.prototypes(rows), 10)
+    ranked = mt.class_ranking(rows.select("id", "vec"), mt.prototypes(rows))
     return ranked.withColumn("score", (F.col("score") + 1) / 2)
 
 

@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one is made only when none is configured."""
+    """Folder every executor can reach. Only a local session may go without: it gets one of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="aisleframe-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -40,6 +48,39 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like :func:`durable`, as a compressed table whose path :func:`forget` can remove."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table of :func:`stored` that nothing reads any more."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(values: DataFrame, col: str, out: str) -> DataFrame:
+    """Distinct ``values`` of any sortable type with their 0-based place in sorted order.
+
+    Ranges are sorted on their own and shifted by the size of the earlier ones.
+    """
+    # The ranges come from a sample, so they are fixed before they are counted.
+    tagged = durable(
+        values.select(col).repartitionByRange(col).withColumn("_r", F.spark_partition_id())
+    )
+    sizes = tagged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range.
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(col)) - 1
+    return tagged.withColumn("_i", place).join(F.broadcast(shift), "_r").select(
+        col, (F.col("_s") + F.col("_i")).cast("long").alias(out)
+    )
+
+
 def split_row_number(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,11 +113,15 @@ def split_row_number(
     )
 
 
-def value_counts_ranked(df: DataFrame, col: str, buckets: int = 256) -> DataFrame:
+RANGE_ROWS = 500_000
+
+
+def value_counts_ranked(df: DataFrame, col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Distinct values of ``col`` with their count and 1-based first position in sorted order.
 
-    Equal values collapse before sorting, then value ranges are ranked separately and shifted by
-    the total of the earlier ranges. Columns: value, n, first_pos, next_value.
+    Equal values collapse before sorting, then value ranges of about ``range_rows`` values are
+    ranked separately and shifted by the total of the earlier ranges. Columns: value, n, first_pos,
+    next_value.
     """
     # The counts are read several times below, the input only once.
     counts = durable(
@@ -84,12 +129,10 @@ def value_counts_ranked(df: DataFrame, col: str, buckets: int = 256) -> DataFram
         .groupBy(F.col(col).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.select(F.percentile_approx("value", probs, 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    edge = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    bucket = F.size(F.filter(edge, lambda c: c < F.col("value")))
-    tagged = counts.withColumn("_b", bucket)
+    buckets = max(1, -(-counts.count() // range_rows))
+    # Range bounds come from a sample, so the ranges are fixed before they are counted.
+    ranges = counts.repartitionByRange(buckets, "value").withColumn("_b", F.spark_partition_id())
+    tagged = durable(ranges)
     per = tagged.groupBy("_b").agg(F.sum("n").alias("_bn"), F.min("value").alias("_bmin"))
     # At most `buckets` rows reach this unpartitioned window.
     over_all = Window.orderBy("_b")

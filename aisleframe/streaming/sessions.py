@@ -43,10 +43,18 @@ def start_session_totals(crops: DataFrame, folder: str, **trigger) -> StreamingQ
     )
 
 
-def session_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals per session and product over every batch so far."""
-    schema = "session long, product string, done long, facings long, area double, batch long"
-    parts = spark.read.schema(schema).parquet(f"{folder}/totals")
+def session_progress(spark: SparkSession, folder: str, session: str | None = None) -> DataFrame:
+    """Totals per session and product over every batch so far.
+
+    The type of session ids comes from the written files, or is given as ``session`` where there may
+    be none yet.
+    """
+    read = spark.read
+    if session is not None:
+        read = read.schema(
+            f"session {session}, product string, done long, facings long, area double, batch long"
+        )
+    parts = read.parquet(f"{folder}/totals")
     return parts.groupBy("session", "product").agg(
         F.sum("done").alias("done"), F.sum("facings").alias("facings"), F.sum("area").alias("area")
     )
@@ -72,4 +80,4 @@ def run_to_end(crops: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or scratch_path(spark, "sessions")
     query = start_session_totals(crops, folder)
     query.awaitTermination()
-    return session_progress(spark, folder)
+    return session_progress(spark, folder, crops.schema["session"].dataType.simpleString())
