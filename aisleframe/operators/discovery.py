@@ -57,7 +57,13 @@ def response_object(text: Column) -> Column:
         return F.struct(c.alias("clean"), F.regexp_extract(c, r"(?s)\{.*\}", 0).alias("inner"))
 
     def parse(c: Column) -> Column:
-        kind = lambda part: F.schema_of_variant(F.try_parse_json(part))
+        # The variant reader refuses repeated keys, of which the last value counts.
+        keys = lambda part: F.json_object_keys(part)
+        again = lambda part: F.size(keys(part)) > F.size(F.array_distinct(keys(part)))
+        kind = lambda part: F.coalesce(
+            F.schema_of_variant(F.try_parse_json(part)),
+            F.when(F.endswith(part, F.lit("}")) & again(part), F.lit("OBJECT")),
+        )
         whole = kind(c["clean"])
         return F.struct(
             F.when(whole.isNotNull(), c["clean"]).otherwise(c["inner"]).alias("body"),
