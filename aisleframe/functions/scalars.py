@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,33 +59,46 @@ def relative_age(ts: Column, as_of: Column) -> Column:
     )
 
 
+# Leap years of the 33-year cycle by their place in it, and the days before each month.
+LEAP_PLACES = (1, 5, 9, 13, 17, 22, 26, 30)
+MONTH_STARTS = (0, 31, 62, 93, 124, 155, 186, 216, 246, 276, 306, 336)
+# 1 Farvardin 1353, the first day of a cycle, was 21 March 1974.
+CYCLE_YEAR, CYCLE_DATE = 1353, date(1974, 3, 21)
+
+
 def jalali(ts: Column) -> Column:
     """Solar Hijri date as struct<jy, jm, jd>.
 
-    Days are counted in the proleptic Gregorian calendar and re-expressed in the 33-year
-    (12053-day) and 4-year (1461-day) cycles of the arithmetic solar calendar.
+    Arithmetic calendar with eight leap years in 33 (Heydari, "A concise review of the Iranian
+    calendar", 2004): the year is looked up among the cycle's year starts, the month among the
+    month starts.
     """
-    # Fixed value: day number of 1970-01-01 counted from the start of the cycle origin year -1595.
-    epoch_shift = 1075195
-    day = F.unix_date(ts.cast("date")).cast("long") + F.lit(epoch_shift)
-    return _jalali_from_day(day)
-
-
-def _jalali_from_day(day: Column) -> Column:
-    in_33 = day % 12053
-    in_4 = in_33 % 1461
-    years = F.lit(-1595) + F.lit(33) * F.floor(day / 12053) + F.lit(4) * F.floor(in_33 / 1461)
-    past_leap = in_4 > 365
-    year = years + F.when(past_leap, F.floor((in_4 - 1) / 365)).otherwise(F.lit(0))
-    doy = F.when(past_leap, (in_4 - 1) % 365).otherwise(in_4)
-    first_half = doy < 186
-    month = F.when(first_half, F.lit(1) + F.floor(doy / 31)).otherwise(
-        F.lit(7) + F.floor((doy - 186) / 30)
-    )
-    dom = F.when(first_half, F.lit(1) + doy % 31).otherwise(F.lit(1) + (doy - 186) % 30)
-    return F.struct(
-        year.cast("int").alias("jy"), month.cast("int").alias("jm"), dom.cast("int").alias("jd")
-    )
+    lengths = [366 if place in LEAP_PLACES else 365 for place in range(33)]
+    starts = [sum(lengths[:place]) for place in range(33)]
+    cycle_days = sum(lengths)
+    table = lambda values: F.array(*[F.lit(v) for v in values])
+
+    def last_at_most(values, x: Column) -> Column:
+        return F.size(F.filter(table(values), lambda v: v <= x))
+
+    day = F.unix_date(ts.cast("date")) - F.lit((CYCLE_DATE - date(1970, 1, 1)).days)
+    split = let(day, lambda d: F.struct(
+        F.floor(d / cycle_days).cast("int").alias("cycle"), F.pmod(d, F.lit(cycle_days)).alias("rest")
+    ))
+    year = let(split, lambda s: F.struct(
+        s["cycle"].alias("cycle"), s["rest"].alias("rest"), last_at_most(starts, s["rest"]).alias("place")
+    ))
+    in_year = let(year, lambda y: F.struct(
+        (F.lit(CYCLE_YEAR - 1) + F.lit(33) * y["cycle"] + y["place"]).cast("int").alias("jy"),
+        (y["rest"] - F.element_at(table(starts), y["place"])).alias("doy"),
+    ))
+    month = let(in_year, lambda y: F.struct(
+        y["jy"].alias("jy"), y["doy"].alias("doy"), last_at_most(MONTH_STARTS, y["doy"]).alias("jm")
+    ))
+    return let(month, lambda x: F.struct(
+        x["jy"].alias("jy"), x["jm"].cast("int").alias("jm"),
+        (x["doy"] - F.element_at(table(MONTH_STARTS), x["jm"]) + 1).cast("int").alias("jd"),
+    ))
 
 
 def file_name(path: Column) -> Column:

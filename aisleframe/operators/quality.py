@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import relative_to
+from ..model import CLUSTER_MIN_POINTS
 
 
 class LayoutError(ValueError):
@@ -185,9 +186,13 @@ def build_matrix(files: DataFrame, pool: DataFrame, dim: int) -> DataFrame:
     return files.join(pool.select("key", "embedding"), "key").withColumn("embedding", vec)
 
 
-def enough_points(rows: DataFrame, least: int) -> bool:
+def is_enough(n: Column, least: int) -> Column:
+    return n >= least
+
+
+def enough_points(rows: DataFrame, least: int = CLUSTER_MIN_POINTS) -> bool:
     """Guard before clustering; reads no more rows than the floor."""
-    return rows.limit(least).count() >= least
+    return rows.limit(least).agg(is_enough(F.count(F.lit(1)), least)).first()[0]
 
 
 def count_inferred(resolved: DataFrame, flag: Column | str = "inferred") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "share", "quality", "vectors", "discovery")
+MODULES = ("market", "share", "quality", "vectors", "discovery", "files")
 
 
 def load_all():

@@ -146,7 +146,7 @@ def inc03(spark, d):
 @query("inc04_sample_guard", f"""
 WITH {CROPS_SQL} SELECT label, count(*)::BIGINT AS n, count(*) >= 40 AS enough FROM crops GROUP BY 1""")
 def inc04(spark, d):
-    return q.class_counts(b.crops(spark, d)).withColumn("enough", F.col("n") >= 40)
+    return q.class_counts(b.crops(spark, d)).withColumn("enough", q.is_enough(F.col("n"), 40))
 
 
 @query("fn01_cosine", f"""
@@ -167,10 +167,12 @@ def fn03(spark, d):
 
 
 @query("fn04_jalali", """
-WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1075195 AS n FROM orders),
-a AS (SELECT o_orderkey, -1595 + 33 * (n // 12053) + 4 * ((n % 12053) // 1461) AS y, (n % 12053) % 1461 AS r FROM o),
-z AS (SELECT o_orderkey, CASE WHEN r > 365 THEN y + (r - 1) // 365 ELSE y END AS jy,
-             CASE WHEN r > 365 THEN (r - 1) % 365 ELSE r END AS day FROM a)
+WITH ny(jy, first_day) AS (VALUES
+  (1370, DATE '1991-03-21'), (1371, DATE '1992-03-21'), (1372, DATE '1993-03-21'), (1373, DATE '1994-03-21'),
+  (1374, DATE '1995-03-21'), (1375, DATE '1996-03-20'), (1376, DATE '1997-03-21'), (1377, DATE '1998-03-21'),
+  (1378, DATE '1999-03-21'), (1379, DATE '2000-03-20'), (1380, DATE '2001-03-21'), (1381, DATE '2002-03-21')),
+z AS (SELECT o_orderkey, jy, date_diff('day', first_day, o_orderdate::DATE) AS day
+      FROM orders ASOF JOIN ny ON o_orderdate::DATE >= first_day)
 SELECT o_orderkey, jy::INTEGER AS jy,
        (CASE WHEN day < 186 THEN 1 + day // 31 ELSE 7 + (day - 186) // 30 END)::INTEGER AS jm,
        (CASE WHEN day < 186 THEN 1 + day % 31 ELSE 1 + (day - 186) % 30 END)::INTEGER AS jd
@@ -254,16 +256,20 @@ def evd05(spark, d):
 
 @query("eva01_inferred_sources", r"""
 WITH p AS (SELECT page_id, split(url, '/')[-1] AS name, split(url, '/')[-2] AS cls FROM pages),
-k AS (SELECT page_id, cls, trim(regexp_replace(regexp_replace(name, '^(.+)\.[^.]+$', '\1'),
-             '\s*\(Edited(?:\s+\d+)?\)', '', 'gi')) AS stem FROM p)
-SELECT page_id, CASE WHEN regexp_matches(stem, '^(.*?)-(\d+)$') THEN regexp_extract(stem, '^(.*?)-(\d+)$', 1)
+k0 AS (SELECT page_id, cls, trim(regexp_replace(regexp_replace(name, '^(.+)\.[^.]+$', '\1'),
+             '\s*\(Edited(?:\s+\d+)?\)', '', 'gi')) AS stem FROM p),
+known AS (SELECT DISTINCT stem, true AS known FROM k0 WHERE length(stem) % 2 = 0),
+k AS (SELECT * FROM k0 LEFT JOIN known USING (stem))
+SELECT page_id, CASE WHEN known THEN stem WHEN regexp_matches(stem, '^(.*?)-(\d+)$') THEN regexp_extract(stem, '^(.*?)-(\d+)$', 1)
        WHEN regexp_matches(stem, '(?i)^(.*)_(?:front|back)[a-z0-9]*$')
        THEN cls || '::' || regexp_extract(stem, '(?i)^(.*)_(?:front|back)[a-z0-9]*$', 1)
        ELSE cls || '::' || stem END AS "group"
 FROM k""")
 def eva01(spark, d):
     pages = b.table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
-    known = pages.where("path IS NULL").select(F.col("path").alias("photo"))
+    from .files import known_stems
+
+    known = known_stems(pages)
     return ev.infer_source_photo(pages, known).select("page_id", "group")
 
 
