@@ -80,27 +80,18 @@ def kpis(
     obs: DataFrame, products: DataFrame, stores: DataFrame, f: Filters = Filters()
 ) -> DataFrame:
     """Headline figures of the filtered observations, one row."""
-    pairs = carried_pairs(_matching(obs, products, f))
-    # Each distinct set is deduplicated on its own key before it is counted.
-    n_products = pairs.select("product_id").distinct().agg(F.count(F.lit(1)).alias("products"))
-    seen = pairs.select("store_id").distinct()
-    n_stores = seen.agg(F.count(F.lit(1)).alias("stores"))
-    n_districts = (
-        seen.join(stores, "store_id").select("district").distinct()
-        .agg(F.count(F.lit(1)).alias("regions"))
-    )
-    sums = pairs.agg(
+    pairs = _matching(carried_pairs(obs.where(f.date_predicate())), products, f.without_dates())
+    where = stores.select("store_id", "district")
+    # One pass over the facts; the distinct sets are reduced map-side on the pair totals.
+    return pairs.join(where, "store_id", "left").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("observations"),
         F.coalesce(F.sum("area"), F.lit(0.0)).alias("total_area"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("total_facings"),
-    )
-    # Four single-row results side by side.
-    return (
-        sums.join(F.broadcast(n_products)).join(F.broadcast(n_stores))
-        .join(F.broadcast(n_districts))
-        .withColumn(
-            "area_index", percent(F.col("total_area"), F.col("total_facings") * FACING_AREA_UNIT)
-        )
+        F.count_distinct("product_id").alias("products"),
+        F.count_distinct("store_id").alias("stores"),
+        F.count_distinct("district").alias("regions"),
+    ).withColumn(
+        "area_index", percent(F.col("total_area"), F.col("total_facings") * FACING_AREA_UNIT)
     )
 
 
@@ -110,20 +101,14 @@ def period_delta(obs: DataFrame, products: DataFrame, f: Filters = Filters()) ->
         F.unix_micros(F.col("observed_at").cast("timestamp")).alias("t"),
         f.date_predicate().alias("inside"),
     )
-    current = everything.where("inside").agg(
-        F.count(F.lit(1)).alias("current"),
-        F.min("t").alias("lo"),
-        F.max("t").alias("hi"),
-    )
-    # One row of bounds; at least one millisecond of span.
-    span = F.greatest(F.lit(1000), F.col("hi") - F.col("lo"))
-    before = everything.join(
-        F.broadcast(current.select("lo", span.alias("span"))),
-        (F.col("t") >= F.col("lo") - F.col("span")) & (F.col("t") < F.col("lo")),
-    ).agg(F.count(F.lit(1)).alias("previous"))
-    return current.select("current").join(F.broadcast(before)).withColumn(
-        "delta_pct", percent(F.col("current") - F.col("previous"), F.col("previous"))
-    )
+    # One row of bounds, then one pass for both counts; at least one millisecond of span.
+    lo, hi = everything.where("inside").agg(F.min("t"), F.max("t")).first()
+    earlier = F.lit(False)
+    if lo is not None:
+        earlier = (F.col("t") >= lo - max(1000, hi - lo)) & (F.col("t") < lo)
+    return everything.agg(
+        F.count_if("inside").alias("current"), F.count_if(earlier).alias("previous")
+    ).withColumn("delta_pct", percent(F.col("current") - F.col("previous"), F.col("previous")))
 
 
 def _brand_pairs(obs: DataFrame, products: DataFrame, f: Filters) -> DataFrame:
@@ -633,29 +618,31 @@ def brand_cards(
     card_filter = Filters(None, f.flavor, f.size, None, f.date_from, f.date_to)
     pairs = carried_pairs(obs.where(card_filter.date_predicate()))
     dim = products.where(card_filter.product_predicate()).select("product_id", "brand_id")
-    joined = pairs.join(dim, "product_id")
-    per_product = joined.groupBy("brand_id", "product_id").agg(F.sum("count").alias("count"))
-    place = F.struct((-F.col("count")).alias("k"), F.col("product_id"))
-    extremes = per_product.groupBy("brand_id").agg(
-        F.min(place)["product_id"].alias("best"), F.max(place)["product_id"].alias("worst")
-    )
-    per_store = joined.groupBy("brand_id", "store_id").agg(
-        F.sum("n").alias("n"), F.sum("count").alias("count"), F.sum("area").alias("area")
+    joined = pairs.join(dim, "product_id").join(
+        stores.select("store_id", "district"), "store_id", "left"
     )
-    volume = per_store.groupBy("brand_id").agg(
-        F.count(F.lit(1)).alias("stores"),
-        F.sum("n").alias("observations"),
-        F.sum("count").alias("facings"),
-        F.sum("area").alias("area"),
-    )
-    reach = (
-        per_store.join(stores.select("store_id", "district"), "store_id")
-        .select("brand_id", "district").distinct()
-        .groupBy("brand_id").agg(F.count(F.lit(1)).alias("districts"))
+    # Totals per product and totals per store side by side, from one pass over the pairs.
+    both = joined.groupingSets(
+        [["brand_id", "product_id"], ["brand_id", "store_id", "district"]],
+        "brand_id", "product_id", "store_id", "district",
+    ).agg(
+        F.sum("n").alias("n"), F.sum("count").alias("count"), F.sum("area").alias("area"),
+        (F.grouping("store_id") == 1).alias("by_product"),
+    )
+    at_store = lambda c: F.when(~F.col("by_product"), F.col(c))
+    place = F.when(F.col("by_product"), F.struct((-F.col("count")).alias("k"), F.col("product_id")))
+    figures = both.groupBy("brand_id").agg(
+        F.count_if(~F.col("by_product")).alias("stores"),
+        F.sum(at_store("n")).alias("observations"),
+        F.sum(at_store("count")).alias("facings"),
+        F.sum(at_store("area")).alias("area"),
+        F.count_distinct(at_store("district")).alias("districts"),
+        F.min(place)["product_id"].alias("best"),
+        F.max(place)["product_id"].alias("worst"),
     )
     catalogue = products.groupBy("brand_id").agg(F.count(F.lit(1)).alias("skus"))
     out = brands.select("brand_id")
-    for part in (catalogue, volume, reach, extremes):
+    for part in (catalogue, figures):
         out = out.join(part, "brand_id", "left")
     return out.na.fill(0, ["skus", "stores", "observations", "facings", "area", "districts"])
 
