@@ -9,7 +9,7 @@ from aisleframe.llm import decontam
 
 
 def words(text):
-    return re.findall(r"[a-z0-9]+", (text or "").lower())
+    return re.findall("[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
 
 
 def brute(docs, items, overlap, identity):
@@ -23,6 +23,8 @@ def brute(docs, items, overlap, identity):
             need = min(overlap, len(w))
             for shift in range(-len(w) + 1, len(t)):
                 eq = [0 <= k + shift < len(t) and t[k + shift] == w[k] for k in range(len(w))]
+                if sum(eq) < identity * need - 1e-9:
+                    continue
                 ok = [0 <= k + shift < len(t) for k in range(len(w))]
                 for a in range(len(w)):
                     if not eq[a]:
