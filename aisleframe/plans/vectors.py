@@ -58,6 +58,48 @@ CV_PROTO = (
     f"{TRAIN_SQL}, {PROTO_SQL.format(key='model,', src='train')}, "
     f"{RANK_SQL.format(rows='rows', on='p.model = c.fold')}, {BEST_SQL}"
 )
+# The discriminant head in sums: moments, Ledoit-Wolf shrinkage per class, the pooled covariance, and
+# its system solved by one elimination step per coordinate.
+LDA_SQL = """lda_x AS (SELECT model, label, row_number() OVER () AS r, vec FROM train),
+lda_n AS (SELECT model, label, count(*) AS n FROM lda_x GROUP BY ALL HAVING count(*) > 1),
+lda_e AS (SELECT x.model, x.label, r, pos, vec[pos] AS v FROM lda_x x JOIN lda_n USING (model, label), range(1, 65) t(pos)),
+lda_m AS (SELECT model, label, pos, avg(v) AS m, var_pop(v) AS var FROM lda_e GROUP BY ALL),
+lda_s AS (SELECT *, CASE WHEN var <= 2.3e-15 * greatest(m * m, 1e-300) THEN 1 ELSE sqrt(var) END AS s FROM lda_m),
+lda_z AS (SELECT model, label, r, list((v - m) / s ORDER BY pos) AS z, sum(pow((v - m) / s, 2)) AS sq
+          FROM lda_e JOIN lda_s USING (model, label, pos) GROUP BY ALL),
+lda_q AS (SELECT model, label, count(*) AS n, sum(sq * sq) AS quartic FROM lda_z GROUP BY ALL),
+lda_c AS (SELECT model, label, i, j, avg(z[i] * z[j]) AS c FROM lda_z, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL),
+lda_t AS (SELECT model, label, sum(c) FILTER (i = j) AS tr, sum(c * c) AS d FROM lda_c GROUP BY ALL),
+lda_w AS (SELECT model, label, tr / 64 AS mu, (quartic / n - d) / (64 * n) AS beta,
+                 (d - 2 * tr * tr / 64 + tr * tr / 64) / 64 AS delta FROM lda_t JOIN lda_q USING (model, label)),
+lda_k AS (SELECT model, label, mu, CASE WHEN least(beta, delta) = 0 THEN 0 ELSE least(beta, delta) / delta END AS share FROM lda_w),
+lda_p AS (SELECT c.model, i, j, avg(((1 - share) * c + CASE WHEN i = j THEN share * mu ELSE 0 END) * si.s * sj.s) AS v
+          FROM lda_c c JOIN lda_k USING (model, label)
+          JOIN lda_s si ON si.model = c.model AND si.label = c.label AND si.pos = i
+          JOIN lda_s sj ON sj.model = c.model AND sj.label = c.label AND sj.pos = j GROUP BY ALL),
+lda_a AS (SELECT model, i, list(v ORDER BY j) AS left_side FROM lda_p GROUP BY ALL),
+lda_b AS (SELECT model, pos AS i, list(m ORDER BY label) AS right_side FROM lda_s GROUP BY ALL),
+lda_g AS (SELECT model, list(list_concat(left_side, right_side) ORDER BY i) AS mat FROM lda_a JOIN lda_b USING (model, i) GROUP BY ALL),
+lda_r AS (
+  SELECT model, 1 AS k, mat FROM lda_g
+  UNION ALL
+  SELECT model, k + 1, list_transform(mat, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda v: v / mat[k][k])
+      ELSE list_transform(list_zip(row, mat[k]), lambda z: z[1] - row[k] / mat[k][k] * z[2]) END)
+  FROM lda_r WHERE k <= 64),
+lda_l AS (SELECT model, label, row_number() OVER (PARTITION BY model ORDER BY label) AS c, count(*) OVER (PARTITION BY model) AS classes
+          FROM lda_n),
+lda_h AS (SELECT l.model, l.label, list(mat[pos][64 + c] ORDER BY pos) AS coef,
+                 -0.5 * sum(mat[pos][64 + c] * m) + ln(1.0 / any_value(classes)) AS bias
+          FROM lda_l l JOIN lda_r g ON g.model = l.model AND k = 65 JOIN lda_s s ON s.model = l.model AND s.label = l.label
+          GROUP BY l.model, l.label)"""
+POSTERIOR_SQL = """ranking AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, label)::BIGINT AS rank
+  FROM (SELECT id, label, exp(y - max(y) OVER w) / sum(exp(y - top)) OVER w AS score
+        FROM (SELECT *, max(y) OVER (PARTITION BY id) AS top FROM (
+          SELECT c.id, h.label, (list_inner_product(c.vec, h.coef) + h.bias) / 30 AS y FROM {rows} c JOIN lda_h h ON {on}))
+        WINDOW w AS (PARTITION BY id)))"""
+LDA_ALL = f"{CROPS_SQL}, train AS (SELECT 0 AS model, label, vec FROM crops), {LDA_SQL}"
+LDA_RANKED = f"{LDA_ALL}, {POSTERIOR_SQL.format(rows='crops', on='true')}, {BEST_SQL}"
+CV_LDA = f"{CROPS_SQL}, {FOLD_SQL}, {TRAIN_SQL}, {LDA_SQL}, {POSTERIOR_SQL.format(rows='rows', on='h.model = c.fold')}, {BEST_SQL}"
 GATE_SQL = "CASE WHEN score < {s} {m} OR vote < 0.4 THEN 'low_confidence' ELSE product END"
 NEG = "(truth = 'unknown_beverage' OR starts_with(truth, 'non_beverage'))"
 PBUCKET = "(pred = 'unknown_beverage' OR starts_with(pred, 'non_beverage'))"
@@ -158,7 +200,8 @@ def vec06(spark, d):
     return mt.match_prototype(rows.select("id", "vec"), rows).select("id", "product", *r6(*MATCH))
 
 
-@query("vec07_discriminant_head")
+@query("vec07_discriminant_head", f"""WITH RECURSIVE {LDA_ALL}
+SELECT label, round(sqrt(list_inner_product(coef, coef)), 6) AS norm, round(bias, 6) AS bias FROM lda_h""")
 def vec07(spark, d):
     """Coefficient norm and bias per class of the fitted head."""
     head = lda.fit(b.crops(spark, d))
@@ -169,7 +212,8 @@ def vec07(spark, d):
     )
 
 
-@query("vec08_discriminant_match")
+@query("vec08_discriminant_match", f"""WITH RECURSIVE {LDA_RANKED}
+SELECT id, product, vote, round(score, 6) AS score, round(margin, 6) AS margin FROM proto""")
 def vec08(spark, d):
     rows = b.crops(spark, d)
     return mt.match(rows.select("id", "vec"), rows, "lda").select("id", "product", *r6(*MATCH))
@@ -184,6 +228,16 @@ def vec09(spark, d):
     )
 
 
+@query("vec09_top_matches_lda", f"""WITH RECURSIVE {LDA_RANKED}
+SELECT id, label, round(score, 6) AS score, rank FROM ranking""")
+def vec09_lda(spark, d):
+    """Every class by posterior, with a head fitted on the references."""
+    rows = b.crops(spark, d)
+    return mt.top_matches(rows.select("id", "vec"), rows, None).select(
+        "id", "label", *r6("score"), "rank"
+    )
+
+
 @query("vec10_classify", f"""
 WITH {LOO_KNN} SELECT id, product, round(vote, 6) AS vote, round(score, 6) AS score FROM knn""")
 def vec10(spark, d):
@@ -385,7 +439,8 @@ def eva04_proto(spark, d):
     return ev.out_of_fold(_folds(spark, d), "prototype").select("id", "product", *r6(*MATCH))
 
 
-@query("eva04_out_of_fold_lda")
+@query("eva04_out_of_fold_lda", f"""WITH RECURSIVE {CV_LDA}
+SELECT id, product, vote, round(score, 6) AS score, round(margin, 6) AS margin FROM proto""")
 def eva04_lda(spark, d):
     return ev.out_of_fold(_folds(spark, d), "lda").select("id", "product", *r6(*MATCH))
 
@@ -405,7 +460,11 @@ def eva05(spark, d):
     return out.select("mode", *r6("argmax"), *COUNTS, *r6(*METRICS))
 
 
-@query("eva05_grouped_cv_lda")
+@query("eva05_grouped_cv_lda", f"""WITH RECURSIVE {CV_LDA},
+pr AS (SELECT 'lda' AS mode, product, {GATE_SQL.format(s=0.30, m='OR margin < 0.05')} AS pred, label AS truth
+       FROM proto JOIN crops USING (id)), m AS ({metrics_sql('pr', 'mode')})
+SELECT m.*, round(argmax, 6) AS argmax
+FROM m JOIN (SELECT mode, avg((product = truth)::INTEGER) AS argmax FROM pr GROUP BY 1) USING (mode)""")
 def eva05_lda(spark, d):
     out = ev.grouped_cv(_folds(spark, d), ("lda",))
     return out.select("mode", *r6("argmax"), *COUNTS, *r6(*METRICS))
