@@ -146,6 +146,8 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES)
         ))).alias("s"))
         .select("blob", F.transform("s", lambda x: F.struct(x["kind"], x["start"], x["end"])).alias("spans"))
     )
+    # A table of its own, so that the join below can split a blob that very many documents hold.
+    hits = folder_table(hits, "findings")
     paths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), blob_name().alias("blob"))
     none = F.array().cast(SPAN)
     return paths.join(hits, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
