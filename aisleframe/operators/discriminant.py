@@ -25,6 +25,7 @@ from .neighbors import as_matrix
 from .quality import thin_classes
 
 _FLUSH_BYTES = 128 * 1024 * 1024
+_CLASS_TASKS = 8
 
 
 @dataclass
@@ -85,8 +86,19 @@ def _checked(class_rows: DataFrame) -> pd.DataFrame:
     return class_rows.toPandas()
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Per (model, label, i): n, sum of coordinate i, row i of the Gram matrix."""
+def _moments(rows: DataFrame, budget: int = _FLUSH_BYTES) -> DataFrame:
+    """Per (model, label, i): n, sum of coordinate i, row i of the Gram matrix.
+
+    A task holds at most ``budget`` bytes of matrices. Few classes are summed where their rows lie.
+    With so many that a task could not hold them all, rows are first dealt by class, each class over
+    several tasks, so that a matrix leaves a task once and not for every few rows.
+    """
+    classes = rows.select("model", "label").distinct().count()
+    dim = rows.select(F.size("vec")).first()
+    if dim is not None and classes * dim[0] ** 2 * 8 > budget:
+        salt = F.pmod(F.xxhash64("vec"), F.lit(_CLASS_TASKS))
+        rows = rows.withColumn("_s", salt).repartition("model", "label", "_s")
+        rows = rows.sortWithinPartitions("model", "label").drop("_s")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -95,9 +107,9 @@ def _moments(rows: DataFrame) -> DataFrame:
                 x = as_matrix(g["vec"])
                 n, s, gram = held.get(key, (0, 0.0, 0.0))
                 held[key] = (n + len(x), s + x.sum(axis=0), gram + x.T @ x)
-            if held and len(held) * x.shape[1] ** 2 * 8 > _FLUSH_BYTES:
-                yield from _emit(held)
-                held = {}
+                if len(held) * x.shape[1] ** 2 * 8 > budget:
+                    yield from _emit(held)
+                    held = {}
         yield from _emit(held)
 
     model_type = rows.schema["model"].dataType.simpleString()

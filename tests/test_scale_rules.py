@@ -138,3 +138,19 @@ def test_a_cluster_without_shared_folder_is_refused():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_folder(session)
+
+
+def test_moments_of_many_classes_stay_within_their_budget(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, f"c{k % 2000:04d}", rng.normal(size=8).tolist()) for k in range(6000)]
+    df = spark.createDataFrame(rows, "model int, label string, vec array<double>")
+    # 2,000 matrices of 8 x 8 are 1 MB; a task may hold a sixteenth of that.
+    got = discriminant._moments(df, budget=64 * 1024).where("i = 3").collect()
+    want = {}
+    for _, label, v in rows:
+        n, s, g = want.get(label, (0, 0.0, 0.0))
+        want[label] = (n + 1, s + v[3], g + v[3] * np.array(v))
+    assert len(got) == 2000
+    for r in got:
+        n, s, g = want[r.label]
+        assert r.n == n and abs(r.sx - s) < 1e-9 and np.allclose(r["row"], g)
