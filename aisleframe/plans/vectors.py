@@ -16,6 +16,7 @@ from ..operators import discriminant as lda
 from ..operators import evaluation as ev
 from ..operators import evidence as fx
 from ..operators import matching as mt
+from ..operators import recognition as rc
 from ..sources import bindings as b
 from ..sources.bindings import CROPS_SQL
 from .market import r6
@@ -390,6 +391,59 @@ def evd09(spark, d):
     return out.select("id", "product", *r6("score"), "source")
 
 
+# Areas by rule on the vector ids.
+RECOGNISED_SQL = f"""{FUSION}, top2 AS (SELECT id, max(label) FILTER (rank = 1) AS product, max(score) FILTER (rank = 1) AS s1,
+    max(score) FILTER (rank = 2) AS s2 FROM ranking GROUP BY 1),
+consulted AS (SELECT id FROM top2 WHERE starts_with(product, 'brand') OR s1 - s2 < 0.05),
+{FUSE_SQL.format(alpha=1.5)},
+t AS (SELECT k.id, coalesce(max(f.label) FILTER (f.rank = 1), any_value(k.product)) AS product,
+        coalesce(max(f.s) FILTER (f.rank = 1), any_value(s1)) AS score,
+        coalesce(max(f.s) FILTER (f.rank = 1) - max(f.s) FILTER (f.rank = 2), any_value(s1 - s2)) AS margin,
+        coalesce(max(f.label) FILTER (f.rank = 1) <> max(f.label) FILTER (f.old_rank = 1), false) AS changed
+      FROM top2 k LEFT JOIN (SELECT * FROM fused WHERE id IN (FROM consulted)) f ON f.id = k.id GROUP BY k.id),
+g AS (SELECT id, CASE WHEN score < 0.3 OR margin < 0.05 THEN 'low_confidence' ELSE product END AS product, score,
+             CASE WHEN changed THEN 'ocr' ELSE 'local' END AS source FROM t),
+ok AS (SELECT id, label, 0.5::DOUBLE + (id % 5) / 10.0 AS confidence FROM crops
+       WHERE id % 3 <> 0 AND label <> 'unknown_beverage' AND NOT starts_with(label, 'non_beverage')),
+recognised AS (SELECT g.id, CASE WHEN product = 'low_confidence' AND ok.id IS NOT NULL THEN ok.label ELSE product END AS product,
+       CASE WHEN product = 'low_confidence' AND ok.id IS NOT NULL THEN ok.confidence ELSE score END AS score,
+       CASE WHEN product = 'low_confidence' AND ok.id IS NOT NULL THEN 'llm' ELSE source END AS source
+     FROM g LEFT JOIN ok USING (id))"""
+
+
+def _recognised(spark, d):
+    rows = b.crops(spark, d)
+    verdicts = rows.select(
+        "id",
+        F.when(F.col("id") % 3 == 0, F.lit("unlisted")).otherwise(F.col("label")).alias("label"),
+        (F.lit(0.5) + (F.col("id") % 5) / 10).alias("confidence"),
+    )
+    return rc.recognise(
+        rows.select("id", "vec"), rows, _evidence(spark, d), verdicts, "prototype",
+        consult_margin=0.05, score_floor=0.30, margin_floor=0.05, ranking=_candidates(spark, d),
+    )
+
+
+@query("flow01_recognised_crops", f"""
+WITH {RECOGNISED_SQL} SELECT id, product, round(score, 6) AS score, source FROM recognised""")
+def flow01(spark, d):
+    """Ranking, label reads, fusion, gates and second opinion as one job."""
+    return _recognised(spark, d).select("id", "product", *r6("score"), "source")
+
+
+@query("flow02_shelf_shares", f"""
+WITH {RECOGNISED_SQL}, f AS (SELECT photo, product, count(*) AS facings, sum((1 + id % 13)::DOUBLE) AS area
+  FROM recognised JOIN crops USING (id) WHERE product <> 'low_confidence' AND NOT starts_with(product, 'non_beverage') GROUP BY ALL)
+SELECT photo, product, facings::BIGINT AS facings, area, round(facings / sum(facings) OVER w::DOUBLE, 6) AS share_by_facings,
+       round(area / sum(area) OVER w, 6) AS share_by_space FROM f WINDOW w AS (PARTITION BY photo)""")
+def flow02(spark, d):
+    """The shares of every photo from its recognised crops."""
+    located = b.crops(spark, d).select("id", "photo", (1 + F.col("id") % 13).cast("double").alias("area"))
+    return rc.shelf_shares(_recognised(spark, d), located).select(
+        "photo", "product", "facings", "area", *r6("share_by_facings", "share_by_space")
+    )
+
+
 def fusion_sweep_sql() -> str:
     alphas = {1.5: "a", 3.0: "b"}
     ctes = []

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aisleframe import runtime
-from aisleframe.operators import clustering, discovery, discriminant, market, matching
+from aisleframe.operators import clustering, discovery, discriminant, market, matching, recognition
 from aisleframe.streaming import sessions
 
 
@@ -154,3 +154,23 @@ def test_moments_of_many_classes_stay_within_their_budget(spark):
     for r in got:
         n, s, g = want[r.label]
         assert r.n == n and abs(r.sx - s) < 1e-9 and np.allclose(r["row"], g)
+
+
+def test_recognition_in_lda_on_planted_centres(spark, twelve):
+    refs = twelve.withColumn("label", F.concat(F.lit("brand_1L_"), "label"))
+    held = {c: [r.vec for r in twelve.where(F.col("label") == c).collect()] for c in ("class00", "class01")}
+    between = unit(np.mean(held["class00"], axis=0) + np.mean(held["class01"], axis=0))
+    weak = spark.createDataFrame([("odd", between), ("odder", between)], "id string, vec array<double>")
+    crops = refs.select("id", "vec").unionByName(weak)
+    reads = spark.createDataFrame([], "id string, flavour string, flavour_score double, brand string, brand_score double, brand_runner_up double")
+    verdicts = spark.createDataFrame([("odd", "brand_1L_class03", 0.7), ("odder", "unlisted", 0.9)], "id string, label string, confidence double")
+    got = recognition.recognise(crops, refs, reads, verdicts, score_floor=0.6)
+    rows = {r.id: r for r in got.collect()}
+    truth = {r.id: r.label for r in refs.collect()}
+    assert np.mean([rows[i].product in (truth[i], "low_confidence") for i in truth]) > 0.95
+    assert np.mean([rows[i].product == truth[i] for i in truth]) > 0.5
+    assert rows["odd"].source == "llm" and rows["odd"].product == "brand_1L_class03"
+    assert rows["odder"].product == "low_confidence"
+    located = crops.select("id", F.lit(2.0).alias("area"), F.lit(1).alias("photo"))
+    shares = recognition.shelf_shares(got, located).collect()
+    assert abs(sum(r.share_by_facings for r in shares) - 1) < 1e-9
