@@ -29,7 +29,7 @@ SEED = 42
 SHARD_ROWS = 200_000
 LEAF_ROWS = 384
 SAMPLE_PER_SHARD = 64
-LEAST_SAMPLE = 4096
+LEAST_SAMPLE, MOST_SAMPLE = 4096, 1 << 18
 CANDIDATES = 6
 
 
@@ -178,14 +178,15 @@ def near_links(
     """Links a < b between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
 
     With ``forest`` only as many as keep the components (each of them a real link), else every pair.
-    The top tree is fitted on a sample of 64 rows per shard, 4096 at least; it only decides where
-    fingerprints meet, never whether.
+    The top tree is fitted on a sample of 64 rows per shard, 4096 at least and 262,144 at most; it
+    only decides where fingerprints meet, never whether. Beyond that shards grow, at eight bytes a row.
     """
     total = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total / shard_rows)))))
     tree = None
     if depth:
-        share = min(1.0, max(LEAST_SAMPLE, SAMPLE_PER_SHARD * 2 ** (depth + 1)) / total)
+        wanted = max(LEAST_SAMPLE, SAMPLE_PER_SHARD * 2 ** (depth + 1))
+        share = min(1.0, min(wanted, MOST_SAMPLE) / total)
         picked = distinct.where(
             F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
         )
