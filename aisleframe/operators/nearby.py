@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import EARTH_RADIUS_KM, haversine_km
 from .neighbors import GreatCircle, Limits, knn_join
 
+# Distances up to which all stores are simply compared, in vectors.
+FEW_PAIRS = 25_000_000
 # Candidate pairs per store up to which the grid is used; denser tables go to the pivot join.
 PAIRS_PER_STORE = 2000
 
@@ -20,13 +22,17 @@ def nearby_stores(
     max_km: float = 8.0,
     limits: Limits = Limits(),
     pairs_per_store: int = PAIRS_PER_STORE,
+    few_pairs: int = FEW_PAIRS,
 ) -> DataFrame:
     """The ``n`` nearest other stores within ``max_km`` of every store: store_id, other_id, km, rank.
 
     Stores are joined by grid cells no smaller than the radius, so only neighbours meet. The pairs
     this would make are counted first; where stores crowd in few cells the exact pivot join, which
-    splits them, takes over.
+    splits them, takes over. It also serves tables of a few thousand stores, where comparing all is
+    less work than the grid's joins. All ways give the same rows.
     """
+    if stores.count() ** 2 <= few_pairs:
+        return _by_pivots(stores, n, max_km, limits)
     homes, visits = _cells(stores, max_km)
     crowd = homes.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"))
     seen = visits.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("v"))

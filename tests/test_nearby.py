@@ -25,15 +25,15 @@ def places():
 
 
 @pytest.mark.parametrize("radius", [0.05, 4.0, 60.0, 25000.0])
-@pytest.mark.parametrize("share", [10**9, 0])
-def test_nearby_equals_all_pairs(spark, radius, share):
+@pytest.mark.parametrize("few,share", [(0, 10**9), (0, 0), (10**9, 0)])
+def test_nearby_equals_all_pairs(spark, radius, few, share):
     rows = places()
     stores = spark.createDataFrame(rows, "store_id long, lat double, lng double")
     want = {}
     for a in rows:
         near = sorted((round(km(a, b), 9), b[0]) for b in rows if b[0] != a[0] and km(a, b) <= radius)[:5]
         want |= {(a[0], b): (d, k + 1) for k, (d, b) in enumerate(near)}
-    got = {(r.store_id, r.other_id): (r.km, r["rank"]) for r in nearby_stores(stores, 5, radius, pairs_per_store=share).collect()}
+    got = {(r.store_id, r.other_id): (r.km, r["rank"]) for r in nearby_stores(stores, 5, radius, pairs_per_store=share, few_pairs=few).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1] == want[k][1] for k in want)
 
