@@ -133,6 +133,8 @@ def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
     """(start, end) of the longest stretch that begins and ends with an agreement and in which at
     least ``identity`` agree; the first of equals."""
     gain = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - identity, -identity))])
+    # Where a stretch that may reach to a place ends with its last agreement.
+    closed = np.concatenate([[0], np.maximum.accumulate(np.where(equal, np.arange(1, len(equal) + 1), 0))])
     best = (0, 0)
     # Starts worth trying have a smaller sum than all before; ends are tried from the right.
     starts = np.flatnonzero(gain[:-1] < np.concatenate([[np.inf], np.minimum.accumulate(gain[:-1])[:-1]]))
@@ -143,12 +145,9 @@ def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
         while end + 1 < len(gain) and tail[end + 1] >= gain[s] - 1e-9:
             end += 1
         lead = s + int(np.argmax(equal[s:end])) if equal[s:end].any() else end
-        if end - lead > best[1] - best[0]:
-            best = (lead, end)
-    a, b = best
-    while b > a and not equal[b - 1]:
-        b -= 1
-    return a, b
+        if closed[end] - lead > best[1] - best[0]:
+            best = (lead, int(closed[end]))
+    return best
 
 
 @dataclass

@@ -84,3 +84,21 @@ def test_longest_stretch():
     assert f("0001111000") == (3, 7)
     assert f("0000") == (0, 0)
     assert f("110000011110111101111") == (7, 21)
+
+
+def test_longest_stretch_is_trimmed_before_it_is_compared(spark):
+    f = lambda s: decontam.longest_stretch(np.array([c == "1" for c in s], bool), 0.8)
+    assert f("1" * 11 + "0" * 10 + "1" * 12) == (21, 33)
+    rng = random.Random(9)
+    for _ in range(2000):
+        s = "".join(rng.choices("01", weights=(1, rng.choice((1, 2, 4))), k=rng.randrange(0, 40)))
+        sizes = [b - a for a in range(len(s)) for b in range(a + 1, len(s) + 1)
+                 if s[a] == s[b - 1] == "1" and s[a:b].count("1") >= 0.8 * (b - a) - 1e-9]
+        a, b = f(s)
+        assert b - a == max(sizes, default=0), s
+    item = [f"q{k}" for k in range(33)]
+    text = item[:11] + ["zz"] * 10 + item[21:]
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert [(r.overlap_tokens, r.doc_start) for r in decontam.leaks(docs, bench).collect()] == [(12, 21)]
+    assert decontam.without_leaks(docs, bench).count() == 0
