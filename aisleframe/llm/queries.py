@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, pii, quality, secrets, simhash, toxicity
+from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, pii, quality, runs, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,9 @@ def op3(spark, folder):
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op13_minimizer_runs")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return runs.summary(runs.periodic_runs(runs.with_planted_runs(docs)))
