@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, pii, quality, runs, secrets, simhash, toxicity
+from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, negatives, pii, quality, runs, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,31 @@ def op3(spark, folder):
 def op13(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return runs.summary(runs.periodic_runs(runs.with_planted_runs(docs)))
+
+
+@query("op12_kronecker_negatives", """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+             list_inner_product(a.q, c.q)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+    p AS (
+      SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, p.other_id AS positive_id,
+           row_number() OVER w::INT AS rank, s.other_id AS negative_id,
+           p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+      AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)
+    QUALIFY row_number() OVER w <= 3
+    """)
+def op12(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
