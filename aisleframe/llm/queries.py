@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, negatives, pii, quality, runs, secrets, simhash, toxicity
+from aisleframe.llm import bpe, chat, decontam, exact_dedup, extract, negatives, pii, quality, runs, secrets, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,70 @@ def op12(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_association_rules", r"""
+    WITH cut AS (
+      SELECT page_id, url, strpos(coalesce(url, ''), '://') AS cut_at FROM pages),
+    rest AS (
+      SELECT *, CASE WHEN cut_at > 0 THEN substr(url, cut_at + 3) ELSE '' END AS rest,
+             CASE WHEN cut_at > 0 THEN translate(substr(url, 1, cut_at - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS scheme
+      FROM cut),
+    parts AS MATERIALIZED (
+      SELECT *, row_number() OVER () AS n_row,
+             translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query,
+             regexp_extract(rest, '(?s)#(.*)', 1) AS fragment
+      FROM rest),
+    raw AS (
+      SELECT n_row, 's:' AS kind, scheme AS word FROM parts
+      UNION ALL SELECT n_row, 'h:', unnest(string_split(host, '.')) FROM parts
+      UNION ALL SELECT n_row, 'p:', regexp_replace(unnest(string_split(path, '/')), '[0-9]+', '0', 'g') FROM parts
+      UNION ALL SELECT n_row, 'q:', regexp_replace(split_part(unnest(string_split(query, '&')), '=', 1), '[0-9]+', '0', 'g') FROM parts
+      UNION ALL SELECT n_row, 'f:', regexp_replace(fragment, '[0-9]+', '0', 'g') FROM parts),
+    tokens AS (
+      SELECT DISTINCT n_row, kind || CASE WHEN length(word) > 64 THEN md5(word) ELSE word END AS token FROM raw WHERE word <> ''),
+    marks AS (
+      SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad
+      FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+    learnt AS (SELECT n_row, bad FROM parts JOIN marks ON page_id = doc_id),
+    least AS (SELECT greatest(5, (count(*) + 63) // 64) AS least FROM learnt),
+    words AS (
+      SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS place
+      FROM learnt JOIN tokens USING (n_row) WHERE bad GROUP BY token
+      HAVING count(*) >= (SELECT least FROM least) QUALIFY place <= 256),
+    items AS (
+      SELECT n_row, bad, token, place FROM learnt JOIN tokens USING (n_row) JOIN words USING (token)
+      QUALIFY row_number() OVER (PARTITION BY n_row ORDER BY place) <= 12),
+    sets AS (
+      SELECT bad, [token] AS combo FROM items
+      UNION ALL SELECT a.bad, [a.token, b.token] FROM items a JOIN items b ON a.n_row = b.n_row AND a.place < b.place
+      UNION ALL SELECT a.bad, [a.token, b.token, c.token] FROM items a JOIN items b ON a.n_row = b.n_row AND a.place < b.place
+        JOIN items c ON b.n_row = c.n_row AND b.place < c.place),
+    rules AS (
+      SELECT combo, count(*) FILTER (bad) / count(*) AS confidence FROM sets GROUP BY combo
+      HAVING count(*) FILTER (bad) >= (SELECT least FROM least) AND confidence >= 0.5),
+    fit AS (
+      SELECT t.n_row, confidence, array_to_string(combo, ' ') AS terms
+      FROM rules JOIN tokens t ON t.token = combo[-1]
+        LEFT JOIN tokens u ON u.n_row = t.n_row AND len(combo) > 1 AND u.token = combo[1]
+        LEFT JOIN tokens v ON v.n_row = t.n_row AND len(combo) > 2 AND v.token = combo[2]
+      WHERE (len(combo) < 2 OR u.token IS NOT NULL) AND (len(combo) < 3 OR v.token IS NOT NULL)
+      QUALIFY row_number() OVER (PARTITION BY t.n_row ORDER BY confidence DESC, len(combo), array_to_string(combo, ' ')) = 1),
+    listed AS (
+      SELECT *, CASE
+        WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+      FROM parts)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                WHEN terms IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, terms, confidence
+    FROM listed LEFT JOIN fit USING (n_row)
+    """)
+def op11(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.mine(urls.labelled_pages(pages, table(spark, folder, "labels"))))
