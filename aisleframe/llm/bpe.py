@@ -181,9 +181,20 @@ class Encoder:
         return got
 
     def encode_all(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Results of a slice of texts, whose new words are learnt together."""
-        self.learn({w for t in texts for w in t.split()})
-        return map(self.encode, texts)
+        """Results of a slice of texts. Chunks are looked up first; only words of chunks without a
+        result, and those at joins, are learnt, all of the slice together."""
+        cut = [chunks(t, **self.rule) for t in texts]
+        missed, words = set(), set()
+        for parts in cut:
+            missed.update(p for p in parts if p not in self.shared and p not in self.held)
+            for left, right in zip(parts, parts[1:]):
+                if left[-1] not in SPACES and right[0] not in SPACES:
+                    tail, head = left.rsplit(None, 1)[-1], right.split(None, 1)[0]
+                    words.update((tail, head, tail + head))
+        for p in missed:
+            words.update(p.split())
+        self.learn(words)
+        return map(self.encode, cut)
 
     def join(self, left: bytes, right: bytes, a: tuple, b: tuple):
         """What the end of ``a`` and the start of ``b`` hold of the words around the join, and what
@@ -208,8 +219,8 @@ class Encoder:
             return t, h, self.plainly(tail + head)
         return None
 
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        parts = chunks(text, **self.rule)
+    def encode(self, parts: list[bytes]) -> tuple[bytes, bytes]:
+        """The text whose chunks ``parts`` are."""
         coded = [self.chunk(p) for p in parts]
         if len(parts) == 1:
             return coded[0]
@@ -220,11 +231,11 @@ class Encoder:
             if k + 1 < len(parts) and part[-1] not in SPACES and parts[k + 1][0] not in SPACES:
                 got = self.join(part, parts[k + 1], (i, n), coded[k + 1])
                 if got is None:
-                    return self.plainly(text)
+                    return self.plainly(b"".join(parts))
                 t, h, between = got
                 to_id, to_name = to_id - len(t[0]), to_name - len(t[1])
             if to_id < from_id:  # both joins of a chunk claim the same words
-                return self.plainly(text)
+                return self.plainly(b"".join(parts))
             ids.append(i[from_id:to_id])
             names.append(n[from_name:to_name])
             from_id = from_name = 0
@@ -239,24 +250,25 @@ def _counted(rule: dict, flush: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        seen: dict[int, list[int]] = {}
+        seen: dict[int, list[int | None]] = {}
 
         def leave():
             keys = np.fromiter(seen, np.uint64, len(seen)).view(np.int64)
-            n, size = zip(*seen.values())
+            columns = [pa.array(c, pa.int64()) for c in zip(*seen.values())]
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
-                names=["h", "n", "size"],
+                [pa.array(keys), *columns], names=["h", "n", "size", "doc_id", "start"]
             )
 
         for batch in slices(batches, "body"):
-            for text in batch.column("body").to_pylist():
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+                start = 0
                 for part in chunks(text, **rule):
                     got = seen.get(h := xxhash.xxh3_64_intdigest(part))
                     if got is None:
-                        seen[h] = [1, len(part)]
+                        seen[h] = [1, len(part), doc, start]
                     else:
                         got[0] += 1
+                    start += len(part)
             if len(seen) > flush:
                 yield leave()
                 seen = {}
@@ -270,27 +282,32 @@ def shared_chunks(
     rows: DataFrame, path: str, rule: dict, most_bytes: int, most_chunks: int
 ) -> dict[bytes, tuple[bytes, bytes]]:
     """Results of the recurring chunks that save most; at most ``most_bytes`` of their text."""
-    counts = rows.mapInArrow(_counted(rule), "h bigint, n bigint, size bigint")
-    recur = counts.groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    counts = rows.mapInArrow(_counted(rule), "h bigint, n bigint, size bigint, doc_id bigint, start bigint")
+    place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "start")))
+    recur = counts.groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"), place.alias("at"))
     best = (
-        recur.where("n > 1").orderBy(F.desc(F.expr("(n - 1) * size")), "h").limit(most_chunks).collect()
+        recur.where("n > 1 and at is not null").orderBy(F.desc(F.expr("(n - 1) * size")), "h").limit(most_chunks)
+        .select("h", "size", "at.*").collect()
     )
-    wanted, held = set(), 0
+    wanted, held = {}, 0
     for r in best:
         if held + r["size"] <= most_bytes:
-            wanted.add(r["h"] % 2**64)
+            wanted.setdefault(r["doc_id"], []).append((r["start"], r["size"], r["h"] % 2**64))
             held += r["size"]
     if not wanted:
         return {}
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The wanted chunks, taken where they were counted; rows that repeat an id may hold others."""
         import xxhash
 
         seen: set[bytes] = set()
         for batch in slices(batches, "body"):
-            for text in batch.column("body").to_pylist():
-                for part in chunks(text, **rule):
-                    if xxhash.xxh3_64_intdigest(part) in wanted:
+            ids, column = batch.column("doc_id").to_pylist(), batch.column("body")
+            for k, doc in enumerate(ids):
+                for start, size, h in wanted.get(doc, ()):
+                    part = column[k].as_py()[start : start + size]
+                    if xxhash.xxh3_64_intdigest(part) == h:
                         seen.add(part)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary())], names=["body"])
 
@@ -317,7 +334,9 @@ def tokens(
     """doc_id, n_tokens, ids (little-endian 32-bit), decoded per row; null text counts as empty.
 
     ``path`` is the tokenizer file of a word-end BPE whose words are parted by white space and which
-    has no decoder: its decoded text is its tokens with a space between.
+    has no decoder: its decoded text is its tokens with a space between. Empty texts have no tokens;
+    repeated rows and null ids each give their own row, empty tables none; a very long text is read
+    whole, alone in its slice. Other columns are not read.
     """
     rule = rule or {}
     rows = docs.select(

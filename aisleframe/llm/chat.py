@@ -110,43 +110,56 @@ READ = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint,
         "formatted_chars bigint")
 
 
-def read_back(written: DataFrame) -> DataFrame:
-    """Per conversation what its formatted text holds: turns and masked text, parsed and unescaped,
-    as running digests, and the length of all examples. Rows stream by; none is kept."""
-    held = ("conv_id", "position", "trainable", "piece", "start", "text_start", "text_end", "end")
+def read_back(written: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Per conversation what its formatted text and its ``expanded`` examples hold: the turns, parsed
+    and unescaped, and the text under the examples' loss masks, as running digests, and the length of
+    all examples. Each example is read when the stream has reached its last turn; rows stream by,
+    none is kept. No turns give no row."""
+    turns = written.select(
+        "conv_id", "position", F.lit(0).alias("kind"), "piece", "start",
+        F.lit(None).cast("bigint").alias("loss_start"), F.lit(None).cast("bigint").alias("loss_end"),
+        F.lit(None).cast("bigint").alias("n_chars"),
+    )
+    masks = expanded.select(
+        "conv_id", F.col("last").alias("position"), F.lit(1).alias("kind"), F.lit("").alias("piece"),
+        F.lit(None).cast("bigint").alias("start"), "loss_start", "loss_end", "n_chars",
+    )
+    held = turns.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         names = [x.split()[0] for x in READ.split(", ")]
         out = Rows(pa.schema(list(zip(names, types))))
         now = state = None
+        said, at = "", 0
         for batch in slices(batches, "piece"):
-            for conv, _, trainable, piece, start, a, b, end in zip(
+            for conv, _, example, piece, start, a, b, size in zip(
                 *[batch.column(c).to_pylist() for c in held]
             ):
                 if state is None or conv != now:
                     if state is not None and out.add(*_closed(now, state), size=300):
                         yield out.take()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                role, text = _piece.fullmatch(piece).groups()
-                state[0] += 1
-                state[1].update(f"{read_role(role)}\n{unescape(text)}\n".encode())
-                state[5] = end
-                if trainable:
-                    reply = unescape(piece[a - start : b - start])
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if not example:
+                    said, at = piece, start
+                    role, text = _piece.fullmatch(piece).groups()
+                    state[0] += 1
+                    state[1].update(f"{read_role(role)}\n{unescape(text)}\n".encode())
+                    continue
+                state[4] += size
+                if a is not None:
+                    reply = unescape(said[a - at : b - at])
                     state[2] += len(reply)
                     state[3].update(reply.encode())
-                    state[4] += end
-                    state[5] = 0
         if state is not None:
             out.add(*_closed(now, state))
         if len(out):
             yield out.take()
 
-    dealt = written.select(*held).repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    dealt = turns.unionByName(masks).repartition("conv_id").sortWithinPartitions("conv_id", "position", "kind")
     return dealt.mapInArrow(run, READ)
 
 
 def _closed(conv, state) -> tuple:
-    n, turns, chars, loss, total, open_end = state
-    return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total + open_end
+    n, turns, chars, loss, total = state
+    return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total

@@ -126,7 +126,8 @@ def op6(spark, folder):
     more = spark.createDataFrame(
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema
     )
-    return chat.read_back(chat.pieces(turns.unionByName(more)))
+    written = chat.pieces(turns.unionByName(more))
+    return chat.read_back(written, chat.examples(written))
 
 
 @query("op2_host_suffix_array")

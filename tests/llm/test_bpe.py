@@ -35,7 +35,7 @@ def test_every_text_encodes_and_decodes_as_the_library_does(rule):
     tok, coder = library(), bpe.Encoder(PATH, rule=rule)
     for text in odd_texts():
         want = tok.encode(text, add_special_tokens=False).ids
-        ids, names = coder.encode(text.encode())
+        ids, names = next(coder.encode_all([text.encode()]))
         assert np.frombuffer(ids, "<u4").tolist() == want, text
         assert names[:-1].decode() == tok.decode(want, skip_special_tokens=False)
 
@@ -68,3 +68,18 @@ def test_shared_chunks_stay_within_their_bound(spark):
     got = bpe.shared_chunks(rows, PATH, rule, 700, 50)
     assert got and sum(map(len, got)) <= 700
     assert bpe.tokens(df, PATH, rule).select("ids").distinct().count() == 1
+
+
+def test_words_of_shared_chunks_are_not_encoded_again():
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(600)).encode() for _ in range(2)]
+    plain = bpe.Encoder(PATH)
+    shared = {p: plain.plainly(p) for p in bpe.chunks(texts[0])[1:]}
+    coder, learnt = bpe.Encoder(PATH, shared), set()
+    learn = coder.learn
+    coder.learn = lambda words: (learnt.update(words), learn(words))
+    assert list(coder.encode_all(texts)) == [plain.plainly(t) for t in texts]
+    first, *others = bpe.chunks(texts[0])
+    joins = {w for p in [first, *others] for w in (p.split()[0], p.split()[-1])}
+    inside = {w for p in others for w in p.split()} - joins - set(first.split()) - set(texts[1].split())
+    assert len(shared) > 1 and inside and not inside & learnt and set(texts[1].split()) <= learnt

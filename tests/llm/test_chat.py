@@ -43,9 +43,15 @@ SCHEMA = "conv_id bigint, turn bigint, role string, text string, piece string"
 
 def test_everything_reads_back(spark):
     rows = made()
-    got = chat.read_back(chat.pieces(spark.createDataFrame(rows, SCHEMA))).collect()
+    written = chat.pieces(spark.createDataFrame(rows, SCHEMA))
+    got = chat.read_back(written, chat.examples(written)).collect()
     assert {r.conv_id: tuple(r)[1:5] for r in got} == truth(rows)
-    assert chat.pieces(spark.createDataFrame([], SCHEMA)).count() == 0
+    # The loss columns come from the examples: without them nothing is under the mask.
+    bare = chat.read_back(written, chat.examples(written).where("target is null")).collect()
+    assert {r.conv_id: r.n_turns for r in bare} == {r.conv_id: r.n_turns for r in got}
+    assert not any(r.loss_chars for r in bare) and any(r.loss_chars for r in got)
+    none = chat.pieces(spark.createDataFrame([], SCHEMA))
+    assert none.count() == 0 and chat.read_back(none, chat.examples(none)).count() == 0
 
 
 def test_examples_are_prefixes_with_one_trainable_reply(spark):
@@ -66,5 +72,5 @@ def test_examples_are_prefixes_with_one_trainable_reply(spark):
             if r.target is not None:
                 assert chat.unescape(r.text[r.loss_start : r.loss_end]) == (mine[r.target][3] or "")
         total[conv] = sum(r.n_chars for r in ours)
-    back = chat.read_back(written).collect()
+    back = chat.read_back(written, wanted).collect()
     assert {r.conv_id: r.formatted_chars for r in back} == total
