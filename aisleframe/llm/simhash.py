@@ -10,8 +10,6 @@ near copies are not written out as pairs.
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +31,6 @@ LEAF_ROWS = 384
 SAMPLE_PER_SHARD = 64
 LEAST_SAMPLE, MOST_SAMPLE = 4096, 1 << 18
 CANDIDATES = 6
-# Near copies: shingles of five words with a Jaccard similarity of 0.8, looked for at eight bits.
-COPY_WORDS = 5
-COPY_RADIUS = 8
-SIMILARITY = 0.8
-SLOT_ROWS = 1_000_000
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -59,7 +52,10 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 def text_fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash over word shingles of the A-Z lower-cased text; 0 without words."""
-    h = shingles(text, words)
+    return fingerprint_of(shingles(text, words))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if len(h) < 2:
         return int(h[0]) if len(h) else 0
     votes = np.zeros(64, np.int64)
@@ -230,66 +226,9 @@ def near_links(
     return sharded.groupBy("shard").applyInPandas(search, "a bigint, b bigint").distinct()
 
 
-def meeting_keys(points: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """Keys of the points for each choice of three of ``radius`` + 3 blocks of bits. At most ``radius``
-    blocks differ in two points within the radius, so at least three agree."""
-    cuts = np.linspace(0, 64, radius + 4).astype(int).tolist()
-    parts = [
-        (points >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])
-    ]
-    choices = list(itertools.combinations(range(radius + 3), 3))
-    for c, chosen in enumerate(choices):
-        key = np.zeros(len(points), np.uint64)
-        for k in chosen:
-            key = (key << np.uint64(cuts[k + 1] - cuts[k])) | parts[k]
-        yield key * np.uint64(len(choices)) + np.uint64(c)
-
-
-def run_pairs(
-    key: np.ndarray, points: np.ndarray, radius: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Position pairs of equal (sorted) keys within the radius."""
-    step, at = 1, np.arange(len(key) - 1)
-    while len(at):
-        at = at[key[at] == key[at + step]]
-        near = at[np.bitwise_count(points[at] ^ points[at + step]) <= radius]
-        if len(near):
-            yield near, near + step
-        step += 1
-        at = at[at + step < len(key)]
-
-
-def wide_links(distinct: DataFrame, radius: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """Like :func:`near_links`, for radii (1 or more) at which a metric tree prunes nothing."""
-    choices = math.comb(radius + 3, 3)
-    slots = max(1, -(-distinct.count() * choices // slot_rows))
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            signed = frame["fp"].to_numpy(np.int64)
-            for key in meeting_keys(signed.view(np.uint64), radius):
-                yield pd.DataFrame({"key": key.view(np.int64), "fp": signed})
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        key, signed = group["key"].to_numpy(np.int64), group["fp"].to_numpy(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, signed = key[order], signed[order]
-        known, own = np.unique(signed, return_inverse=True)
-        found = run_pairs(key, signed.view(np.uint64), radius)
-        edges = spanning(len(known), ((own[i], own[j]) for i, j in found))
-        both = np.array(edges, np.int64).reshape(-1, 2)
-        a, b = known[both[:, 0]], known[both[:, 1]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    dealt = distinct.select("fp").mapInPandas(deal, "key bigint, fp bigint").withColumn(
-        "slot", F.pmod(F.xxhash64("key"), F.lit(slots))
-    )
-    return dealt.groupBy("slot").applyInPandas(search, "a bigint, b bigint").distinct()
-
-
 def near_groups(
     docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, shard_rows: int = SHARD_ROWS,
-    leaf_rows: int = LEAF_ROWS, wide: bool = False,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable through links) per document.
 
@@ -299,7 +238,7 @@ def near_groups(
     own = folder_table(fingerprints(docs, words), "fingerprints")
     classes = folder_table(own.groupBy("fp").agg(F.min("doc_id").alias("head")), "classes")
     named = classes.where("head is not null").select("fp")
-    links = wide_links(named, radius) if wide else near_links(named, radius, shard_rows, leaf_rows)
+    links = near_links(named, radius, shard_rows, leaf_rows)
     a = classes.select(F.col("fp").alias("a"), F.col("head").alias("u"))
     b = classes.select(F.col("fp").alias("b"), F.col("head").alias("v"))
     # One document may carry two texts, then two classes share a head.
@@ -323,63 +262,3 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
         F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
     return kept_rows(docs, heads, ["doc_id"])
-
-
-def similar_groups(texts: list[bytes], words: int, similarity: float) -> np.ndarray:
-    """A label per text: the first text it is linked to by shingle sets of ``similarity`` or more."""
-    sets = [np.unique(shingles(t, words)) for t in texts]
-    sizes = np.array([len(x) for x in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, int)
-    own = np.split(codes, np.cumsum(sizes)[:-1])
-    label, marked = np.arange(len(texts)), np.zeros(len(codes) + 1, bool)
-    for i, n in enumerate(sizes.tolist()):
-        later = sizes[i + 1 :]
-        fits = np.minimum(later, n) >= similarity * np.maximum(later, n) - 1e-9
-        marked[own[i]] = True
-        for j in (np.flatnonzero(fits & (label[i + 1 :] != label[i])) + i + 1).tolist():
-            if label[j] == label[i]:
-                continue
-            both = int(marked[own[j]].sum())
-            if both >= similarity * (n + sizes[j] - both) - 1e-9:
-                a, b = sorted((label[i], label[j]))
-                label[label == b] = a
-        marked[own[i]] = False
-    return label
-
-
-def without_copies(
-    docs: DataFrame, words: int = COPY_WORDS, radius: int = COPY_RADIUS, similarity: float = SIMILARITY,
-) -> DataFrame:
-    """``docs`` without rows that links of ``similarity`` or more join to a smaller doc_id.
-
-    Links are looked for among documents whose fingerprints are joined at ``radius`` bits, and each
-    is measured on the whole shingle sets. A group of joined fingerprints is compared in one task.
-    """
-    groups = folder_table(near_groups(docs, words, radius, wide=True), "groups")
-    sizes = groups.where("component_id is not null").groupBy("component_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    joined = groups.join(sizes.where("n > 1"), "component_id").select("doc_id", "component_id").distinct()
-    members = docs.select(
-        F.col("doc_id").cast("bigint").alias("own"), whole_text().cast("binary").alias("body")
-    ).join(joined, F.col("own").eqNullSafe(F.col("doc_id"))).select(
-        "component_id", F.col("own").cast("string").alias("own"), "body"
-    )
-
-    def measure(group: pd.DataFrame) -> pd.DataFrame:
-        ids = [None if x is None else int(x) for x in group["own"]]
-        label = similar_groups([bytes(x) for x in group["body"]], words, similarity)
-        first: dict[int, int] = {}
-        for x, at in zip(ids, label.tolist()):
-            if x is not None:
-                first[at] = min(x, first.get(at, x))
-        heads = {x for x, at in zip(ids, label.tolist()) if first.get(at) == x}
-        gone = sorted({x for x in ids if x is not None} - heads) + [None] * (None in ids and None not in heads)
-        return pd.DataFrame({"gone": np.array([None if x is None else str(x) for x in gone], object)})
-
-    gone = members.groupBy("component_id").applyInPandas(measure, "gone string")
-    gone = gone.select(F.col("gone").cast("bigint").alias("gone")).distinct()
-    left = docs.alias("l").join(
-        gone.alias("r"), F.col("l.doc_id").cast("bigint").eqNullSafe(F.col("r.gone")), "left_anti"
-    )
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,58 +1,107 @@
-"""Near copies by five-word shingles: links at a wide radius, and the measured similarity."""
+"""Near copies by five-word shingles: recall on planted pairs, exact links, crowds, odd rows."""
 
 import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
-from aisleframe.llm import simhash
-from tests.llm.test_duplicates import crowd, roots
-
-
-def test_wide_links_equal_all_pairs(spark):
-    for radius, slot in ((8, 10**6), (5, 3000), (1, 500)):
-        points = np.array(crowd(radius, 400), np.uint64)
-        near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
-        signed = points.view(np.int64).tolist()
-        want = {tuple(sorted((signed[a], signed[b]))) for a, b in zip(*np.nonzero(np.triu(near, 1)))}
-        df = spark.createDataFrame([(v,) for v in signed], "fp bigint")
-        got = {(r.a, r.b) for r in simhash.wide_links(df, radius, slot).collect()}
-        assert got <= want and want and roots(got) == roots(want)
-
-
-def test_similar_groups_equal_all_pairs():
-    rng = random.Random(3)
-    base = [[f"w{rng.randrange(90)}" for _ in range(60)] for _ in range(5)]
-    texts = ["", "a b", "A  b"]
-    for _ in range(60):
-        w = list(rng.choice(base))
-        for _ in range(rng.randrange(0, 4)):
-            w[rng.randrange(60)] = "zz"
-        texts.append(" ".join(w))
-    sets = [frozenset(zip(*[t.lower().split()[k:] for k in range(5)])) or frozenset([t.lower().strip()[:1]]) for t in texts]
-    link = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    root = roots(link)
-    assert link and simhash.similar_groups([t.encode() for t in texts], 5, 0.8).tolist() == [
-        root.get(k, k) for k in range(len(texts))]
-
-
-def test_the_stage_removes_near_copies_with_changed_words(spark):
+from aisleframe.llm import near_copies
+from aisleframe.llm.simhash import shingles
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def jaccard(a, b):
+    x, y = (set(shingles(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def changed(rng, w, k):
+    w = list(w)
+    for at in rng.sample(range(len(w)), k):
+        w[at] = "zz"
+    return w
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Pairs with a similarity of 0.8 to 0.95, pairs just below, and texts of their own."""
     rng = random.Random(8)
-    rows, wide = [], 0
-    for k in range(40):
-        w = [f"w{rng.randrange(5000)}" for _ in range(400)]
-        copy = list(w)
-        for at in (50, 150, 250, 350):
-            copy[at] = "zz"
-        a, b = " ".join(w), " ".join(copy)
-        bits = (simhash.text_fingerprint(a.encode(), 5) ^ simhash.text_fingerprint(b.encode(), 5)).bit_count()
-        old = (simhash.text_fingerprint(a.encode()) ^ simhash.text_fingerprint(b.encode())).bit_count()
-        if bits <= simhash.COPY_RADIUS:
-            rows += [(2 * k, a), (2 * k + 1, b)]
-            wide += old > 2
-    assert wide > 5
-    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows],
-                               "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    kept = corpus_pipeline.near(spark, df, None)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows if d % 2 == 0)
+    rows, pairs, below = [], [], 0
+    while len(pairs) < 300 or below < 60:
+        w = words(rng, rng.randrange(60, 500))
+        a, b = " ".join(w), " ".join(changed(rng, w, rng.randrange(1, 1 + len(w) // 35)))
+        s = jaccard(a, b)
+        if 0.8 <= s <= 0.95 and len(pairs) < 300:
+            pairs.append((len(rows), len(rows) + 1))
+        elif 0.7 <= s < 0.8 and below < 60:
+            below += 1
+        else:
+            continue
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    rows += [(len(rows) + k, " ".join(words(rng, 80))) for k in range(200)]
+    return rows, set(pairs)
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_recall_and_exact_links(spark, planted, block):
+    rows, pairs = planted
+    got = {(r.a, r.b) for r in near_copies.near_copy_links(frame(spark, rows), block=block).collect()}
+    assert got <= pairs
+    assert len(got) >= 0.97 * len(pairs)
+
+
+def test_crowds_and_growth(spark):
+    """One group however it is cut, and no more candidates per text in a group twice as large."""
+    rng = random.Random(4)
+    base = words(rng, 300)
+    rate = []
+    for n in (300, 600):
+        rows = [(k, " ".join(changed(rng, base, 3))) for k in range(n)] + [(n, "a b c d e f g h")]
+        block = 256 if n == 300 else 16
+        left = near_copies.without_copies(frame(spark, rows), block=block)
+        assert sorted(r.doc_id for r in left.collect()) == [0, n]
+        own = near_copies.sketched(frame(spark, rows))
+        rate.append(near_copies.candidates(own, 16).count() / n)
+    assert rate[1] < 1.2 * rate[0] and rate[1] < 2 * near_copies.TREES
+
+
+def test_sketches_estimate_the_similarity():
+    rng = random.Random(2)
+    w = words(rng, 800)
+    a, b = (shingles(" ".join(x).encode(), 5) for x in (w, changed(rng, w, 14)))
+    true = jaccard(" ".join(w), " ".join(changed(random.Random(2), w, 0)))
+    assert true == 1
+    low = near_copies.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    x, y = set(a.tolist()), set(b.tolist())
+    assert abs((low[0] == low[1]).mean() - len(x & y) / len(x | y)) < 0.15
+    keys = near_copies.tree_keys(low)
+    same = (low[0] == low[1]).reshape(near_copies.TREES, -1)
+    for k, depth in enumerate(near_copies.DEPTHS):
+        assert (keys[0, :, k] == keys[1, :, k]).tolist() == same[:, :depth].all(axis=1).tolist()
+
+
+def test_odd_rows(spark):
+    long = "l " * 150_000 + " ".join(f"x{k}" for k in range(2000))
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "a b"), (5, "A  b"), (6, "a c"), (None, "a b"), (7, "a b c d e f g"), (7, "q"),
+            (8, "a b c d e f g"), (9, long), (10, long + " end"), (11, "q"), (11, "q")]
+    left = sorted((str(r.doc_id), r.text) for r in near_copies.without_copies(frame(spark, rows)).collect())
+    want = [(1, None), (4, "a b"), (6, "a c"), (None, "a b"), (7, "a b c d e f g"), (7, "q"), (9, long)]
+    assert [d for d, _ in left] == sorted(str(d) for d, _ in want)
+    assert near_copies.without_copies(frame(spark, [])).count() == 0
+
+
+def test_the_stage_keeps_one_of_each_pair(spark, planted):
+    rows, pairs = planted
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, frame(spark, rows), None).collect()}
+    gone = {b for _, b in pairs} - kept
+    assert {d for d, _ in rows} - kept == gone and len(gone) >= 0.97 * len(pairs)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from aisleframe.llm import decontam, queries, toxicity
+from aisleframe.llm.simhash import shingles
 from tests.llm.test_decontam import brute
-from tests.llm.test_duplicates import brute_fingerprint, roots
+from tests.llm.test_duplicates import roots
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,8 +22,8 @@ def plain(docs, toxic, items):
     for d in left[0]:
         newest[docs[d]] = max(d, newest.get(docs[d], d))
     left.append(sorted(newest.values()))
-    fps = {d: brute_fingerprint(docs[d]) for d in left[1]}
-    link = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    sets = {d: set(shingles((docs[d] or "").encode(), 5).tolist()) for d in left[1]}
+    link = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     root = roots(link)
     left.append([d for d in left[1] if root.get(d, d) == d])
     leaked = {d for d, _ in brute([(d, docs[d]) for d in left[2]], items, decontam.OVERLAP, decontam.IDENTITY)}
