@@ -3,9 +3,11 @@
 A reference side whose measured size is small is shipped to the executors and searched with matrix
 products. Beyond that both sides are split by pivots: the distance of a reference to its pivot and
 the triangle inequality give every query a proven upper bound on its k-th distance, and the query
-only visits the cells that can still hold a neighbour (the partitioning of Lu et al., "Efficient
-processing of k nearest neighbor joins using MapReduce", VLDB 2012). Crowded cells are salted into
-blocks of bounded size, so no task or group grows with the data.
+only visits what can still hold a neighbour (the partitioning of Lu et al., "Efficient processing of
+k nearest neighbor joins using MapReduce", VLDB 2012). A cell's references are cut into rings by their
+distance to the pivot, crowded rings into blocks of bounded size. Queries are dealt into chunks by
+their own cell, so the queries of a chunk need the same few blocks; a list of (chunk, block) says
+which, and references travel by that list only. A task holds one chunk and streams its references.
 """
 
 from __future__ import annotations
@@ -15,13 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_BYTES
+from ..runtime import BROADCAST_BYTES, durable
 
 SLACK = 1e-6
 _BATCH = 1024
+# Numbers in one matrix of a step, rings of a pivot's cell, partitions of the streamed search.
+_STEP_CELLS = 16_000_000
+RINGS = 16
+MOST_PARTITIONS = 4096
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -101,7 +108,7 @@ def _ranked_hits(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _search(q: pd.DataFrame, ref: dict, k: int, measure, exclude: str, far: float) -> pd.DataFrame:
     qm = measure.prepare(as_matrix(q["vec"]))
     parts = []
-    step = max(1, min(_BATCH, 16_000_000 // max(1, len(ref["rid"]))))
+    step = max(1, min(_BATCH, _STEP_CELLS // max(1, len(ref["rid"]))))
     positions = pd.Index(ref["rid"]) if exclude == "self" else None
     for lo in range(0, len(q), step):
         hi = min(lo + step, len(q))
@@ -199,8 +206,69 @@ def _broadcast_join(q, r, k, measure, exclude, far, out) -> DataFrame:
     return q.mapInPandas(search, out)
 
 
-def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int) -> DataFrame:
-    spark = q.sparkSession
+def _bounded(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for at in range(0, len(f), rows):
+            yield f.iloc[at : at + rows]
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+def _placed(df: DataFrame, pivots: np.ndarray, measure) -> DataFrame:
+    """Adds the nearest pivot (cell) and the distance to it (d), computed once."""
+
+    def assign(batches):
+        for b in _bounded(batches, max(1, _STEP_CELLS // len(pivots))):
+            d = measure.metric(measure.prepare(as_matrix(b["vec"])), pivots)
+            cell = d.argmin(axis=1)
+            yield b.assign(cell=cell.astype("int32"), d=d[np.arange(len(b)), cell])
+
+    return durable(df.mapInPandas(assign, f"{_fields(df)}, cell int, d double"))
+
+
+class _Rings:
+    """A cell's references by distance to the pivot: at most RINGS of about equal size per cell."""
+
+    def __init__(self, placed: DataFrame, pivots: int, block_rows: int):
+        steps = [i / RINGS for i in range(1, RINGS)]
+        # At most one row per pivot, then one per ring.
+        cells = placed.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("d", F.array(*map(F.lit, steps))).alias("cuts")
+        ).toPandas()
+        self.cuts: dict[int, np.ndarray] = {}
+        for cell, n, cuts in cells.itertuples(index=False):
+            wanted = int(min(RINGS, -(-n // block_rows)))
+            chosen = [cuts[i * RINGS // wanted - 1] for i in range(1, wanted)]
+            self.cuts[cell] = np.unique(np.array(chosen, dtype=np.float64))
+        counts = np.array([len(self.cuts[c]) + 1 if c in self.cuts else 0 for c in range(pivots)])
+        self.first = np.cumsum(counts) - counts
+        self.cell = np.repeat(np.arange(pivots), counts)
+
+    def assign(self, placed: DataFrame) -> DataFrame:
+        """Adds the ring."""
+
+        def run(batches):
+            for b in batches:
+                cell, d = b["cell"].to_numpy(), b["d"].to_numpy()
+                ring = self.first[cell]
+                for c in np.unique(cell):
+                    own = cell == c
+                    ring[own] += np.searchsorted(self.cuts[c], d[own], side="right")
+                yield b.assign(ring=ring.astype("int32"))
+
+        return placed.mapInPandas(run, f"{_fields(placed)}, ring int")
+
+    def measure(self, ringed: DataFrame) -> None:
+        """Nearest and farthest member of every ring."""
+        self.low, self.high = np.full(len(self.cell), np.inf), np.full(len(self.cell), -np.inf)
+        got = ringed.groupBy("ring").agg(F.min("d").alias("low"), F.max("d").alias("high")).toPandas()
+        self.low[got["ring"]], self.high[got["ring"]] = got["low"], got["high"]
+
+
+def _dealt_by_need(q, r, k, measure, exclude, far, limits: Limits, n_refs: int) -> tuple[DataFrame, DataFrame, int]:
+    """Queries (with chunk), references (once for every chunk that may need them), number of chunks."""
     sample = r.orderBy(F.xxhash64("rid"), "rid").limit(limits.pivots_for(n_refs)).select("vec").toPandas()
     pivots = measure.prepare(as_matrix(sample["vec"]))
 
@@ -210,24 +278,11 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int
     tagged = exclude in ("tag", "other")
     copies_of = Window.partitionBy("vec", *(["tag"] if tagged else [])).orderBy("rid")
     r = r.withColumn("i", F.row_number().over(copies_of)).where(F.col("i") <= need).drop("i")
-
-    rid_type = r.schema["rid"].dataType.simpleString()
-    label_type = r.schema["label"].dataType.simpleString()
-    tag_type = r.schema["tag"].dataType.simpleString()
-
-    def assign(batches):
-        for b in batches:
-            if len(b):
-                d = measure.metric(measure.prepare(as_matrix(b["vec"])), pivots)
-                cell = d.argmin(axis=1)
-                yield b.assign(cell=cell.astype("int32"), d=d[np.arange(len(b)), cell])
-
-    vec_type = dict(r.dtypes)["vec"]
-    placed = r.mapInPandas(
-        assign,
-        f"rid {rid_type}, label {label_type}, tag {tag_type}, vec {vec_type}, cell int, d double",
-    )
-    # Per cell: size, radius, and the few smallest pivot distances. Bounded by pivots x tags x k.
+    placed = _placed(r, pivots, measure)
+    rings = _Rings(placed, len(pivots), limits.block_rows)
+    ringed = rings.assign(placed)
+    rings.measure(ringed)
+    # Per cell the few smallest pivot distances. Bounded by pivots x tags x k.
     by_tag = ["cell", "tag"] if tagged else ["cell"]
     nearest = (
         placed.withColumn("i", F.row_number().over(Window.partitionBy(*by_tag).orderBy("d")))
@@ -235,27 +290,26 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int
         .select(*by_tag, "d")
         .toPandas()
     )
-    cells = (
-        placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
-        .toPandas()
-    )
-    radius = np.full(len(pivots), -np.inf)
-    radius[cells["cell"]] = cells["radius"]
-    blocks = np.zeros(len(pivots), dtype="int64")
-    blocks[cells["cell"]] = -(-cells["n"] // limits.block_rows)
-    first_block = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-    n_chunks = max(1, -(-q.count() // limits.block_rows))
-    near_cell = nearest["cell"].to_numpy()
-    near_d = nearest["d"].to_numpy()
+    near_cell, near_d = nearest["cell"].to_numpy(), nearest["d"].to_numpy()
     near_tag = nearest["tag"].to_numpy() if tagged else None
-    qid_type = q.schema["qid"].dataType.simpleString()
-    q_tag = q.schema["tag"].dataType.simpleString()
-    q_vec = dict(q.dtypes)["vec"]
+
+    # Queries of a cell share chunks: they are close, so they need about the same rings.
+    homes = _placed(q, pivots, measure)
+    sizes = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    parts = np.zeros(len(pivots), np.int64)
+    parts[sizes["cell"]] = -(-sizes["n"] // limits.block_rows)
+    first = np.cumsum(parts) - parts
+    plan = q.sparkSession.createDataFrame(
+        [(int(c), int(parts[c]), int(first[c])) for c in sizes["cell"]], "cell int, parts long, first long"
+    )
+    # One row per pivot.
+    chunk = F.col("first") + F.pmod(F.xxhash64("qid"), F.col("parts"))
+    dealt = homes.join(F.broadcast(plan), "cell").select("qid", "tag", "vec", chunk.alias("chunk"))
+    ring_cell, low, high = rings.cell, rings.low, rings.high
+    width = max(1, len(near_cell), len(ring_cell), len(pivots))
 
     def route(batches):
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _bounded(batches, max(1, _STEP_CELLS // width)):
             d = measure.metric(measure.prepare(as_matrix(b["vec"])), pivots)
             reach = d[:, near_cell] + near_d[None, :]
             if near_tag is not None:
@@ -265,40 +319,88 @@ def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int
                 bound = np.partition(reach, need - 1, axis=1)[:, need - 1]
             else:
                 bound = np.full(len(b), np.inf)
-            bound = np.minimum(bound, far)
-            open_ = (d - radius[None, :] <= bound[:, None] + SLACK) & (blocks > 0)[None, :]
-            rows, cols = open_.nonzero()
-            copies = blocks[cols]
-            rows, cols = np.repeat(rows, copies), np.repeat(cols, copies)
-            step = np.arange(len(cols)) - np.repeat(np.cumsum(copies) - copies, copies)
-            got = b.iloc[rows].copy()
-            got["block"] = (first_block[cols] + step).astype("int64")
-            yield got
-
-    routed = q.mapInPandas(
-        route, f"qid {qid_type}, tag {q_tag}, vec {q_vec}, block bigint"
-    ).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(n_chunks)))
-    plan = spark.createDataFrame(
-        [(int(c), int(blocks[c]), int(first_block[c])) for c in cells["cell"]],
-        "cell int, blocks long, first long",
-    )
-    # One row per pivot.
-    stored = placed.join(F.broadcast(plan), "cell").select(
-        "rid",
-        "label",
-        "tag",
-        "vec",
-        (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("blocks"))).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"),
-    )
+            bound = np.minimum(bound, far)[:, None] + SLACK
+            to_pivot = d[:, ring_cell]
+            rows, ring = ((to_pivot - high <= bound) & (low - to_pivot <= bound)).nonzero()
+            codes = np.unique(b["chunk"].to_numpy()[rows] * len(ring_cell) + ring)
+            yield pd.DataFrame({
+                "chunk": codes // max(1, len(ring_cell)),
+                "ring": (codes % max(1, len(ring_cell))).astype("int32"),
+            })
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["qid", "rid", "label", "score"])
-        return _search(a, _pack(b, measure), k, measure, exclude, far)
+    wanted = dealt.mapInPandas(route, "chunk bigint, ring int").distinct()
+    return dealt, ringed.join(wanted, "ring").select("chunk", "rid", "label", "tag", "vec"), int(parts.sum())
 
-    return (
-        routed.groupBy("block", "chunk")
-        .cogroup(stored.groupBy("block", "chunk"))
-        .applyInPandas(search, out)
+
+def _pivot_join(q, r, k, measure, exclude, far, out, limits: Limits, n_refs: int) -> DataFrame:
+    dealt, shipped, chunks = _dealt_by_need(q, r, k, measure, exclude, far, limits, n_refs)
+    # Few chunks are searched by several tasks each, which split the references.
+    stretches = max(1, -(-4 * q.sparkSession.sparkContext.defaultParallelism // max(1, chunks)))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(stretches - 1)))
+    a = dealt.select(
+        "chunk", spread.alias("stretch"), F.lit(0).alias("kind"), F.struct("qid", "tag", "vec").alias("q"),
+        F.lit(None).cast(shipped.select(F.struct("rid", "label", "tag", "vec")).schema[0].dataType).alias("r"),
+    )
+    b = shipped.select(
+        "chunk", F.pmod(F.xxhash64("rid"), F.lit(stretches)).cast("int").alias("stretch"), F.lit(1).alias("kind"),
+        F.lit(None).cast(a.schema["q"].dataType).alias("q"), F.struct("rid", "label", "tag", "vec").alias("r"),
     )
+    cells = a.unionByName(b).repartition(
+        max(1, min(chunks * stretches, MOST_PARTITIONS)), "chunk", "stretch"
+    ).sortWithinPartitions("chunk", "stretch", "kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, cell = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            if not keys.shape[1]:
+                continue
+            turns = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for start, end in zip([0, *turns], [*turns, keys.shape[1]]):
+                here = tuple(keys[:2, start])
+                if here != name:
+                    if cell is not None:
+                        yield from cell.close()
+                    name, cell = here, _Stream(k, measure, exclude, far, limits.block_rows)
+                part = batch.slice(start, end - start).column(4 if keys[2, start] else 3)
+                (cell.add_refs if keys[2, start] else cell.add_queries)(pa.RecordBatch.from_struct_array(part))
+        if cell is not None:
+            yield from cell.close()
+
+    return cells.mapInArrow(search, out)
+
+
+class _Stream:
+    """The queries of a chunk, held whole, and the best k of the references that stream by."""
+
+    def __init__(self, k, measure, exclude, far, block_rows):
+        self.rule, self.block_rows = (k, measure, exclude, far), block_rows
+        self.q, self.r, self.waiting, self.best, self.fields = [], [], 0, None, None
+
+    def add_queries(self, batch: pa.RecordBatch) -> None:
+        self.q.append(batch)
+
+    def add_refs(self, batch: pa.RecordBatch) -> None:
+        if not self.q:
+            return
+        self.r.append(batch)
+        self.waiting += batch.num_rows
+        if self.waiting >= self.block_rows:
+            self.search()
+
+    def search(self) -> None:
+        q, r = (pa.Table.from_batches(x).to_pandas() for x in (self.q, self.r))
+        self.fields = [self.q[0].schema.field("qid"), *(self.r[0].schema.field(c) for c in ("rid", "label"))]
+        found = _search(q, _pack(r, self.rule[1]), *self.rule)
+        if self.best is not None:
+            found = pd.concat([self.best, found]).sort_values(
+                ["qid", "score", "rid"], ascending=[True, False, True], kind="stable"
+            ).groupby("qid", sort=False).head(self.rule[0])
+        self.best, self.r, self.waiting = found, [], 0
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting:
+            self.search()
+        if self.best is not None and len(self.best):
+            schema = pa.schema([*self.fields, pa.field("score", pa.float64())])
+            yield pa.RecordBatch.from_pandas(self.best, schema=schema, preserve_index=False)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aisleframe.operators import clustering, discriminant, matching
-from aisleframe.operators.neighbors import Cosine, GreatCircle, Limits, knn_join
+from aisleframe.operators.neighbors import Cosine, GreatCircle, Limits, _dealt_by_need, knn_join
 
 TINY = Limits(broadcast_bytes=0, block_rows=16, pivots=7)
 
@@ -187,6 +187,24 @@ def test_knn_join_is_exact(spark, limits, exclude):
         assert [got[(i, k + 1)][0] for k in range(4)] == best.tolist()
 
 
+def test_references_travel_by_need(spark):
+    """On clustered data a reference goes to about as many chunks whatever the size of the table."""
+    rate = []
+    for n in (2000, 8000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 100, 24))
+        m = centres[rng.integers(len(centres), size=n)] + 0.02 * rng.normal(size=(n, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "qid long, vec array<double>")
+        q = df.withColumn("tag", F.lit(-2))
+        r = df.select(F.col("qid").alias("rid"), F.lit("").alias("label"), F.lit(-1).alias("tag"), "vec")
+        limits = Limits(broadcast_bytes=0, block_rows=50)
+        dealt, shipped, chunks = _dealt_by_need(q, r, 3, Cosine(), "self", np.inf, limits, n)
+        assert dealt.count() == n and chunks >= n // 50
+        rate.append(shipped.count() / n)
+    # Without a list every reference would go to every chunk: 40 and 160 times.
+    assert max(rate) < 8 and rate[1] < 1.5 * rate[0]
+
+
 @pytest.mark.parametrize("limits", [Limits(), TINY])
 def test_great_circle_radius(spark, limits):
     rng = np.random.default_rng(5)
