@@ -9,6 +9,7 @@ radius up to the one searched. Exact copies collapse into one weighted point fir
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,11 @@ from ..runtime import durable, exact_percentiles, forget, numbered, stored, valu
 from .neighbors import SLACK, Limits, as_matrix, knn_join, unit_rows
 
 BLOCK = Limits(block_rows=1024)
+# The tree of pivots: rows it is fitted on for each pivot and in all, pivots of a node, and the power
+# of growth of the copies from which on a node is not parted.
+LEAST_SAMPLE, MOST_SAMPLE = 8, 32_768
+PIVOTS_PER_NODE = 1024
+WORST_POWER = 0.7
 
 
 def _collapse(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,66 +115,133 @@ def _in_ball(eps: float):
     return F.col("d") <= F.lit(_reach(eps) / 2 - SLACK)
 
 
+def _visits(d: np.ndarray, reach: float) -> np.ndarray:
+    """Cells (rows x pivots) a vector stands in, by its distances to the pivots: that of its nearest
+    pivot, and those whose pivot is at most ``reach`` farther. Of two vectors within ``reach`` one
+    stands in the other's nearest cell: the two differences add up to 2 ``reach`` at most."""
+    return d <= d.min(axis=1, keepdims=True) + reach + 2 * SLACK
+
+
+def _farthest_first(sample: np.ndarray, n: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Picks, each farthest from those before; its distance to them; all distances to the picks."""
+    picks, gaps, columns = [0], [np.inf], []
+    near = np.full(len(sample), np.inf)
+    while True:
+        columns.append(np.arccos(np.clip(sample @ sample[picks[-1]], -1.0, 1.0)))
+        near = np.minimum(near, columns[-1])
+        far = int(near.argmax())
+        if len(picks) == n or near[far] <= SLACK:
+            return picks, np.array(gaps), np.stack(columns, axis=1)
+        picks.append(far)
+        gaps.append(near[far])
+
+
+def _pivot_tree(sample: np.ndarray, rows: float, reach: float, leaf_rows: int, names):
+    """(pivots, children) or the number of a leaf. ``rows`` is what the table should have in the node.
+
+    If a level makes c copies of a row and leaves a share s of the rows in its largest cell, copies end
+    up growing as (rows / leaf_rows) to the power log(c) / log(1 / s). A node takes the pivots for which
+    this power is least; at WORST_POWER and above it stays a leaf, whose blocks are paired (power 1).
+    """
+    most = min(PIVOTS_PER_NODE, int(2 * rows / leaf_rows), len(sample) // LEAST_SAMPLE)
+    best = None
+    if rows > leaf_rows and most > 1:
+        picks, gaps, d = _farthest_first(sample, most)
+        apart = [int((gaps > c * reach).sum()) for c in (4, 3, 2, 1)]
+        for n in {m for m in (*apart, len(picks), len(picks) // 4, len(picks) // 16) if m > 1}:
+            at = _visits(d[:, :n], reach)
+            copies, largest = at.sum() / len(sample), at.sum(axis=0).max() / len(sample)
+            power = np.log(copies) / -np.log(largest) if largest < 1 else np.inf
+            if power < WORST_POWER and (best is None or (power, largest) < best[:2]):
+                best = (power, largest, n, at)
+    if best is None:
+        return next(names)
+    _, _, n, at = best
+    share = rows / len(sample)
+    return sample[picks[:n]], [
+        _pivot_tree(sample[at[:, j]], share * at[:, j].sum(), reach, leaf_rows, names) for j in range(n)
+    ]
+
+
+def _leaves(m: np.ndarray, tree, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and leaf of every place of every vector."""
+    rows, leaves, stack = [], [], [(tree, np.arange(len(m)))]
+    while stack:
+        node, at = stack.pop()
+        if isinstance(node, int):
+            rows.append(at)
+            leaves.append(np.full(len(at), node, np.int64))
+            continue
+        inside = _visits(np.arccos(np.clip(m[at] @ node[0].T, -1.0, 1.0)), reach)
+        stack += [(child, at[inside[:, j]]) for j, child in enumerate(node[1]) if inside[:, j].any()]
+    return np.concatenate(rows), np.concatenate(leaves)
+
+
 def _block_pairs(
     points: DataFrame, eps: float, limits: Limits, pivots: np.ndarray, ball=None
 ) -> DataFrame:
     """Every point copied to each pair of blocks it may have neighbours in: adds block, pair, side.
 
-    With ``ball`` (a condition on the points) the points of one cell's inner ball get blocks of
-    their own, and such blocks of a cell are not paired: the caller already knows that their points
-    are mutual neighbours. A crowd of near copies then costs nothing against itself.
+    A tree of pivots parts the table into leaves that overlap at the bounds, so any two points
+    within ``eps`` share a leaf; it is fitted on at most MOST_SAMPLE rows and only decides where points
+    meet. A leaf that fits a block is one pair. Leaves that no pivots part, or that the sample could
+    not part further, are cut into blocks that are all paired. With ``ball``
+    (a condition on the points) the points of one cell's inner ball get blocks of their own there,
+    and such blocks of a cell are not paired: the caller already knows that their points are mutual
+    neighbours. A crowd of near copies then costs nothing against itself.
     """
-    reach = _reach(eps)
+    reach, size = _reach(eps), limits.block_rows
+    total_rows = points.count()
+    wanted = min(MOST_SAMPLE, max(4096, 8 * LEAST_SAMPLE * -(-total_rows // size)))
+    tree = 0
+    if total_rows > size:
+        sample = points.orderBy(F.xxhash64(F.lit(11), "rep"), "rep").limit(wanted).select("vec").toPandas()
+        tree = _pivot_tree(unit_rows(as_matrix(sample["vec"])), total_rows, reach, size, count())
     inner = F.lit(False) if ball is None else (_in_ball(eps) & ball)
-    placed = _place(points, pivots).withColumn("ball", F.coalesce(inner, F.lit(False)))
-    cells = placed.groupBy("cell").agg(
-        F.count_if(F.col("ball")).alias("balls"),
-        F.count_if(~F.col("ball")).alias("loose"),
-        F.max("d").alias("radius"),
-    ).toPandas()
-    radius = np.full(len(pivots), -np.inf)
-    radius[cells["cell"]] = cells["radius"]
-    nb, nl = np.zeros((2, len(pivots)), dtype="int64")
-    nb[cells["cell"]] = -(-cells["balls"] // limits.block_rows)
-    nl[cells["cell"]] = -(-cells["loose"] // limits.block_rows)
-    blocks = nb + nl
-    first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-    total = int(blocks.sum())
-    layout = points.sparkSession.createDataFrame(
-        [(int(c), int(nb[c]), int(nl[c]), int(first[c])) for c in cells["cell"]],
-        "cell int, nb long, nl long, first long",
-    )
-    spread = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1)))
-    # One row per pivot.
-    salted = placed.join(F.broadcast(layout), "cell").select(
-        *points.columns,
-        "cell",
-        "ball",
-        (
-            F.col("first")
-            + F.when(F.col("ball"), spread("nb")).otherwise(F.col("nb") + spread("nl"))
-        ).alias("block"),
+    placed = _place(points, pivots).select(
+        *points.columns, F.when(inner, F.col("cell")).otherwise(-1).alias("crowd")
     )
 
+    def part(batches):
+        for b in batches:
+            if len(b):
+                rows, leaves = _leaves(unit_rows(as_matrix(b["vec"])), tree, reach)
+                yield b.iloc[rows].assign(leaf=leaves)
+
+    leafed = placed.mapInPandas(part, f"{_ddl(placed)}, leaf long")
+    # A row for each leaf, and for the crowds in it.
+    counts = leafed.groupBy("leaf", "crowd").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = counts.sort_values(["leaf", "crowd"]).reset_index(drop=True)
+    small = counts.groupby("leaf")["n"].transform("sum") <= size
+    # Small leaves are one block, whatever crowds they hold.
+    counts["blocks"] = np.where(small, 0, -(-counts["n"] // size))
+    counts.loc[small & ~counts.duplicated("leaf"), "blocks"] = 1
+    counts["first"] = counts["blocks"].cumsum() - counts["blocks"]
+    counts.loc[small, "first"] = counts[small].groupby("leaf")["first"].transform("min")
+    counts.loc[small, "blocks"] = 1
+    total = int(counts["first"].max() + counts["blocks"].max()) + 1 if len(counts) else 1
+    by_leaf = {leaf: g for leaf, g in counts.groupby("leaf")}
+
     def route(batches):
         for b in batches:
-            if not len(b):
-                continue
-            open_ = (_angles(b["vec"], pivots) - radius[None, :] <= reach + SLACK) & (blocks > 0)
-            rows, cols = open_.nonzero()
-            own_ball = b["ball"].to_numpy()[rows] & (b["cell"].to_numpy()[rows] == cols)
-            start = first[cols] + np.where(own_ball, nb[cols], 0)
-            copies = np.where(own_ball, nl[cols], blocks[cols])
-            step = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            rows, other = np.repeat(rows, copies), np.repeat(start, copies) + step
-            own = b["block"].to_numpy()[rows]
-            got = b.iloc[rows].drop(columns=["cell", "ball"])
-            lo, hi = np.minimum(own, other), np.maximum(own, other)
-            got["pair"] = lo * total + hi
-            got["side"] = (own != lo).astype("int32")
-            yield got
-
-    return salted.mapInPandas(route, f"{_ddl(points)}, block long, pair long, side int")
+            for (leaf, crowd), g in b.groupby(["leaf", "crowd"], sort=False):
+                layout = by_leaf[leaf]
+                mine = layout[layout["crowd"] == crowd].iloc[0]
+                own = mine["first"] + g["h"].to_numpy() % mine["blocks"]
+                first, last = layout["first"].min(), (layout["first"] + layout["blocks"]).max()
+                others = np.arange(first, last)
+                if last - first > 1 and crowd >= 0:
+                    others = others[(others < mine["first"]) | (others >= mine["first"] + mine["blocks"])]
+                other = np.tile(others, len(g))
+                own = np.repeat(own, len(others))
+                got = g.iloc[np.repeat(np.arange(len(g)), len(others))].drop(columns=["leaf", "crowd", "h"])
+                lo, hi = np.minimum(own, other), np.maximum(own, other)
+                got["block"], got["pair"] = own.astype("int64"), (lo * total + hi).astype("int64")
+                got["side"] = (own != lo).astype("int32")
+                yield got
+
+    hashed = leafed.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(2**40)))
+    return hashed.mapInPandas(route, f"{_ddl(points)}, block long, pair long, side int")
 
 
 def _forest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

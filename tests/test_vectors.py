@@ -262,6 +262,26 @@ def test_dbscan_matches_brute_force(spark, limits, min_samples):
     assert [got[i] for i in range(len(m))] == _dbscan(m, 0.02, min_samples).tolist()
 
 
+def test_copies_of_a_point_do_not_grow_with_the_table(spark):
+    """On clustered data a point goes to about as many pairs of blocks whatever the size of the table."""
+    rate = []
+    for n in (1500, 6000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 50, 24))
+        m = centres[rng.integers(len(centres), size=n)] + 0.02 * rng.normal(size=(n, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "rep long, vec array<double>")
+        limits = Limits(block_rows=100)
+        routed = clustering._block_pairs(df, 0.01, limits, clustering._choose_pivots(df, limits))
+        rate.append(routed.count() / n)
+        pairs = routed.groupBy("pair").count().agg(F.max("count")).first()[0]
+        assert pairs <= 4 * limits.block_rows
+        seen = routed.select("rep", "pair").distinct().toPandas().groupby("rep")["pair"].agg(set)
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+        close = np.argwhere(np.triu(1 - unit[:400] @ unit.T <= 0.01, 1))
+        assert len(close) and all(seen[a] & seen[b] for a, b in close)
+    assert max(rate) < 3 and rate[1] < 1.3 * rate[0]
+
+
 @pytest.mark.parametrize("min_samples", [2, 5])
 def test_dbscan_with_a_crowd_of_near_copies(spark, min_samples):
     rng = np.random.default_rng(21)
