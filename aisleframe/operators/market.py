@@ -7,7 +7,7 @@ No side is broadcast by hint: the planner does that itself when a side's measure
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percent, ratio, week_index
 from ..model import Filters
+from ..runtime import durable, numbered
 from .nearby import nearby_stores
 
 WEEKS = 12
 PERIODS = {"7": 7, "30": 30, "90": 90}
 FACING_AREA_UNIT = 240.0
+# Stretches of stores by which products are compared before they are counted.
+MOST_RANGES = 64
+MOST_TASKS = 4096
+FEW_BLOCKS = 8
 
 
 def period_filter(period: str, as_of: Column) -> Column:
@@ -281,14 +286,16 @@ def product_weekly_trend(obs: DataFrame, products: DataFrame, as_of: Column) ->
 
 
 def competitors(
-    obs: DataFrame, product_id=None, n: int = 6, block_pairs: int = 400_000
+    obs: DataFrame, product_id=None, n: int = 6, block_pairs: int = 100_000
 ) -> DataFrame:
     """Other products found in the stores that carry a product, by number of shared stores.
 
     With ``product_id`` the carrying stores are semi-joined, so work is linear in the table.
-    Without it every product is ranked: products are hashed into blocks of bounded total size and
-    shared stores are counted block against block by matrix products, each emitting only the best
-    ``n`` per product instead of every co-occurring pair.
+    Without it every product is ranked, block against block, but only where a block can matter (the
+    idea of threshold algorithms): two products share at most the sum over store ranges of the lesser
+    of their store counts there. Blocks hold products of the same main range. A product's ``n``-th
+    count inside its own block bounds what others must reach, and pairs of blocks whose sums stay
+    below it for every product are never formed.
     """
     pairs = obs.select("product_id", "store_id").distinct()
     if product_id is not None:
@@ -302,22 +309,24 @@ def competitors(
             .limit(n)
             .select(F.lit(product_id).alias("product_id"), "competitor_id", "stores")
         )
+    pairs = durable(pairs)
     size = pairs.count()
     blocks = max(1, -(-size // block_pairs))
-    keyed = pairs.withColumn("b", F.pmod(F.xxhash64("product_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = keyed.select("product_id", "store_id", F.col("b").alias("bl"), other.alias("br"))
-    right = keyed.select("product_id", "store_id", other.alias("bl"), F.col("b").alias("br"))
+    if blocks <= FEW_BLOCKS:
+        # Too few to be worth bounds.
+        keyed = pairs.select(
+            "product_id", F.col("store_id").alias("s"), F.pmod(F.xxhash64("product_id"), F.lit(blocks)).alias("block")
+        )
+        every = [(i, j) for i in range(blocks) for j in range(blocks)]
+        best = _shared_by_blocks(keyed, obs.sparkSession.createDataFrame(every, "bl long, br long"), n)
+        return _top_shared(best, n)
+    keyed, profiles = _blocks_by_range(pairs, size, block_pairs)
+    own = durable(_shared_by_blocks(keyed, profiles.select(F.col("block").alias("bl"), F.col("block").alias("br")).distinct(), n))
+    wanted = _block_pairs_in_reach(profiles, own, n)
+    return _top_shared(own.unionByName(_shared_by_blocks(keyed, wanted, n)), n)
 
-    def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best_shared(a, b, n)
 
-    kind = pairs.schema["product_id"].dataType.simpleString()
-    best = (
-        left.groupBy("bl", "br")
-        .cogroup(right.groupBy("bl", "br"))
-        .applyInPandas(rank, f"product_id {kind}, competitor_id {kind}, stores long")
-    )
+def _top_shared(best: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("product_id").orderBy(F.col("stores").desc(), "competitor_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
@@ -326,53 +335,139 @@ def competitors(
     )
 
 
+def _blocks_by_range(pairs: DataFrame, size: int, block_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their block and the place of their store, and each product's stores by range.
+
+    Ranges are stretches of stores in order of their ids, about as many as blocks, MOST_RANGES at most.
+    """
+    places = durable(numbered(pairs.select("store_id").distinct(), "store_id", "s"))
+    stores = places.count()
+    ranges = max(1, min(MOST_RANGES, -(-size // block_pairs)))
+    at = F.floor(F.col("s") * ranges / max(1, stores)).cast("int")
+    placed = pairs.join(places, "store_id").withColumn("range", at)
+    counts = placed.groupBy("product_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    profile = counts.groupBy("product_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("range", "n"))).alias("by_range"),
+        F.min(F.struct((-F.col("n")).alias("k"), "range"))["range"].alias("main"),
+        F.sum("n").alias("stores"),
+    )
+    # One row per range.
+    parts = profile.groupBy("main").agg(F.ceil(F.sum("stores") / block_pairs).alias("parts"))
+    block = F.struct("main", F.pmod(F.xxhash64("product_id"), F.col("parts")).alias("part"))
+    zero = F.lit(0).cast("long")
+    profiles = durable(profile.join(F.broadcast(parts), "main").select(
+        "product_id", (F.col("main") * F.lit(1 << 32) + block["part"]).alias("block"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(ranges - 1)),
+            lambda r: F.coalesce(F.try_element_at("by_range", r), zero),
+        ).alias("profile"),
+    ))
+    keyed = durable(placed.join(profiles.select("product_id", "block"), "product_id").select("product_id", "s", "block"))
+    return keyed, profiles
+
+
+def _block_pairs_in_reach(profiles: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """Pairs of different blocks (bl, br) in which some product of bl can still gain a competitor."""
+    floor = own.groupBy("product_id").agg(
+        F.when(F.count(F.lit(1)) >= n, F.min("stores")).otherwise(1).alias("least")
+    )
+    rows = profiles.join(floor, "product_id", "left").select(
+        "block", "profile", F.coalesce("least", F.lit(1)).alias("least")
+    )
+    ranges = profiles.select(F.size("profile")).first()
+    tops = profiles.groupBy("block").agg(
+        *[F.max(F.col("profile")[r]).alias(f"_{r}") for r in range(ranges[0] if ranges else 0)]
+    )
+    # One row per block: the most stores that any of its products has in each range.
+    shipped = tops.toPandas()
+    names, most = shipped["block"].to_numpy(), shipped.drop(columns="block").to_numpy()
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = set()
+            mine = np.stack(b["profile"].to_list()) if len(b) else np.zeros((0, most.shape[1]), int)
+            step = max(1, 4_000_000 // max(1, most.size))
+            for lo in range(0, len(b), step):
+                bound = np.minimum(mine[lo : lo + step, None, :], most[None]).sum(axis=2)
+                # An equal count can still win by its id.
+                row, col = (bound >= b["least"].to_numpy()[lo : lo + step, None]).nonzero()
+                found.update(zip(b["block"].to_numpy()[lo + row].tolist(), names[col].tolist()))
+            both = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"bl": both[:, 0], "br": both[:, 1]})
+
+    return durable(rows.mapInPandas(reach, "bl long, br long").where("bl <> br").distinct())
+
+
+def _shared_by_blocks(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The best ``n`` of block br for every product of block bl, for the wanted pairs of blocks."""
+
+    def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _best_shared(a, b, n)
+
+    kind = keyed.schema["product_id"].dataType.simpleString()
+    # Few bytes but much work: a partition for every pair of blocks, up to a bound.
+    tasks = max(1, min(MOST_TASKS, wanted.count()))
+    left, right = (
+        keyed.select(F.col("product_id").alias("product_id"), F.col("s").alias("s"), F.col("block").alias(side))
+        .join(wanted.select(F.col("bl").alias("bl"), F.col("br").alias("br")), side)
+        .repartition(tasks, "bl", "br")
+        for side in ("bl", "br")
+    )
+    return (
+        left.groupBy("bl", "br")
+        .cogroup(right.groupBy("bl", "br"))
+        .applyInPandas(rank, f"product_id {kind}, competitor_id {kind}, stores long")
+    )
+
+
 def _best_shared(a: pd.DataFrame, b: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Top ``n`` products of ``b`` for each product of ``a`` by shared stores."""
+    """Top ``n`` products of ``b`` for each product of ``a`` by shared stores (product_id, s).
+
+    Counts are added up from the stores' product lists, so the work is the number of meetings, not
+    products times products times stores.
+    """
     kinds = {"product_id": a["product_id"].dtype, "competitor_id": a["product_id"].dtype, "stores": "int64"}
     empty = pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in kinds.items()})
     if a.empty or b.empty:
         return empty
-    shops = np.intersect1d(a["store_id"].unique(), b["store_id"].unique())
-    if not len(shops):
-        return empty
-    a, b = a[a["store_id"].isin(shops)], b[b["store_id"].isin(shops)]
-    pa_, ia = np.unique(a["product_id"].to_numpy(), return_inverse=True)
-    pb_, ib = np.unique(b["product_id"].to_numpy(), return_inverse=True)
-    sa = np.searchsorted(shops, a["store_id"].to_numpy())
-    sb = np.searchsorted(shops, b["store_id"].to_numpy())
-    order_a = np.argsort(ia, kind="stable")
-    ia, sa = ia[order_a], sa[order_a]
-    cols = min(4096, len(shops))
-    rows = max(1, min(2048, 32_000_000 // max(1, len(pb_))))
-    out = []
-    for lo in range(0, len(pa_), rows):
-        hi = min(lo + rows, len(pa_))
-        start, stop = np.searchsorted(ia, [lo, hi])
-        # A product of one column block is at most `cols`, exact in float32; their sum is not.
-        shared = np.zeros((hi - lo, len(pb_)), dtype=np.float64)
-        for c in range(0, len(shops), cols):
-            in_a = (sa[start:stop] >= c) & (sa[start:stop] < c + cols)
-            in_b = (sb >= c) & (sb < c + cols)
-            x = np.zeros((hi - lo, cols), dtype=np.float32)
-            y = np.zeros((cols, len(pb_)), dtype=np.float32)
-            x[ia[start:stop][in_a] - lo, sa[start:stop][in_a] - c] = 1
-            y[sb[in_b] - c, ib[in_b]] = 1
-            shared += x @ y
-        shared[pa_[lo:hi, None] == pb_[None, :]] = 0
-        if len(pb_) > n:
+    ids_a, ia = np.unique(a["product_id"].to_numpy(), return_inverse=True)
+    ids_b, ib = np.unique(b["product_id"].to_numpy(), return_inverse=True)
+    shops, sb = np.unique(b["s"].to_numpy(), return_inverse=True)
+    order = np.argsort(sb, kind="stable")
+    lists, first = ib[order], np.searchsorted(sb[order], np.arange(len(shops) + 1))
+    sa = np.searchsorted(shops, a["s"].to_numpy())
+    held = sa < len(shops)
+    held[held] &= shops[sa[held]] == a["s"].to_numpy()[held]
+    ia, sa = ia[held], sa[held]
+    order = np.argsort(ia, kind="stable")
+    ia, sa = ia[order], sa[order]
+    meets = first[sa + 1] - first[sa]
+    upto = np.concatenate([[0], np.cumsum(meets)])
+    out, lo, width = [], 0, len(ids_b)
+    while lo < len(ids_a):
+        # As many products as keep both the counters and the meetings bounded, one at least.
+        start = int(np.searchsorted(ia, lo))
+        most = int(np.searchsorted(upto, upto[start] + 4_000_000, side="right")) - 1
+        hi = int(ia[most]) if most < len(ia) else len(ids_a)
+        hi = max(lo + 1, min(hi, lo + max(1, 4_000_000 // width)))
+        stop = int(np.searchsorted(ia, hi))
+        n_meets, s = meets[start:stop], sa[start:stop]
+        begin = np.repeat(first[s] - (upto[start:stop] - upto[start]), n_meets)
+        other = lists[begin + np.arange(int(n_meets.sum()))]
+        cell = np.repeat((ia[start:stop] - lo) * width, n_meets) + other
+        shared = np.bincount(cell, minlength=(hi - lo) * width).reshape(hi - lo, width)
+        shared[ids_a[lo:hi, None] == ids_b[None, :]] = 0
+        if width > n:
             floor = -np.partition(-shared, n - 1, axis=1)[:, n - 1]
         else:
-            floor = np.zeros(hi - lo)
-        keep = (shared >= np.maximum(floor, 1)[:, None]).nonzero()
+            floor = np.zeros(hi - lo, int)
+        row, col = (shared >= np.maximum(floor, 1)[:, None]).nonzero()
         got = pd.DataFrame(
-            {
-                "product_id": pa_[lo + keep[0]],
-                "competitor_id": pb_[keep[1]],
-                "stores": shared[keep].astype("int64"),
-            }
+            {"product_id": ids_a[lo + row], "competitor_id": ids_b[col], "stores": shared[row, col].astype("int64")}
         )
         got = got.sort_values(["product_id", "stores", "competitor_id"], ascending=[True, False, True])
         out.append(got.groupby("product_id", sort=False).head(n))
+        lo = hi
     return pd.concat(out) if out else empty
 
 

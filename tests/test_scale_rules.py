@@ -174,3 +174,31 @@ def test_recognition_in_lda_on_planted_centres(spark, twelve):
     located = crops.select("id", F.lit(2.0).alias("area"), F.lit(1).alias("photo"))
     shares = recognition.shelf_shares(got, located).collect()
     assert abs(sum(r.share_by_facings for r in shares) - 1) < 1e-9
+
+
+def test_competitors_form_only_block_pairs_in_reach(spark):
+    """Regional ranges: products of far regions are never counted against each other."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for p in range(240):
+        region = p // 30
+        shops = set((region * 40 + rng.choice(40, 12, replace=False)).tolist())
+        if p % 30 == 0:
+            shops |= set(rng.choice(320, 8, replace=False).tolist())
+        rows += [(p, s) for s in shops]
+    obs = spark.createDataFrame(rows, "product_id long, store_id long")
+    keyed, profiles = market._blocks_by_range(obs.distinct(), len(rows), 300)
+    blocks = profiles.select("block").distinct()
+    own = market._shared_by_blocks(keyed, blocks.selectExpr("block as bl", "block as br"), 6)
+    wanted, all_pairs = market._block_pairs_in_reach(profiles, own, 6).count(), blocks.count() ** 2
+    assert blocks.count() >= 8 and 0 < wanted < all_pairs / 2
+    carried = {}
+    for p, s in rows:
+        carried.setdefault(p, set()).add(s)
+    want = {}
+    for p, mine in carried.items():
+        ranked = sorted((-len(mine & other), q) for q, other in carried.items() if q != p and mine & other)[:6]
+        want.update({(p, k + 1): (q, -c) for k, (c, q) in enumerate(ranked)})
+    for size in (300, 400_000):
+        got = market.competitors(obs, block_pairs=size).collect()
+        assert {(r.product_id, r["rank"]): (r.competitor_id, r.stores) for r in got} == want
