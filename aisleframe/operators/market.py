@@ -26,6 +26,8 @@ FACING_AREA_UNIT = 240.0
 MOST_RANGES = 64
 MOST_TASKS = 4096
 FEW_BLOCKS = 8
+# A page that ends within so many rows is found by a plain sort with a limit.
+PAGE_ROWS = 10_000
 
 
 def period_filter(period: str, as_of: Column) -> Column:
@@ -758,7 +760,11 @@ def search_page(
     page_size: int = 10,
     tie: str | None = None,
 ) -> DataFrame:
-    """Case-insensitive substring search, typed sort and one page, clamped to the last one."""
+    """Case-insensitive substring search, typed sort and one page, clamped to the last one.
+
+    Pages beyond PAGE_ROWS rows are first narrowed to the range of sort values that holds them, so
+    only rows of that range are sorted, not all rows before the page.
+    """
     hit = rows
     q = query.strip().lower()
     if q:
@@ -767,14 +773,55 @@ def search_page(
             text = F.coalesce(F.lower(F.col(c).cast("string")), F.lit(""))
             any_of = any_of | F.contains(text, F.lit(q))
         hit = rows.where(any_of)
-    pages = max(1, -(-hit.count() // page_size))
-    current = min(page, pages - 1)
+    total = hit.count()
+    current = min(page, max(1, -(-total // page_size)) - 1)
+    offset = current * page_size
     numeric = dict(rows.dtypes)[sort_by] not in ("string",)
     key = F.col(sort_by) if numeric else F.coalesce(F.col(sort_by), F.lit(""))
     order = [key.desc() if descending else key.asc()]
     if tie:
         order.append(F.col(tie).asc())
-    return hit.orderBy(*order).offset(current * page_size).limit(page_size)
+    for column, down in ((key, descending), *([(F.col(tie), False)] if tie else [])):
+        hit, total, offset = _narrowed(hit, column, down, total, offset, page_size)
+    return hit.orderBy(*order).offset(offset).limit(page_size)
+
+
+def _narrowed(
+    rows: DataFrame, key: Column, down: bool, total: int, offset: int, size: int, most: int | None = None
+) -> tuple[DataFrame, int, int]:
+    """The rows whose key may stand on the page, their number, and where the page begins among them.
+
+    Values of a small sample cut the rows into ranges; the counts of the ranges say which of them the
+    page touches. This repeats inside them until few rows are left or one value remains.
+    """
+    most = PAGE_ROWS if most is None else most
+    for turn in range(8):
+        if offset + size <= most or total <= most:
+            break
+        # At most 64 cuts; null stands below all values.
+        pick = rows.where(key.isNotNull()).select(key.alias("k")).where(
+            F.pmod(F.xxhash64(F.lit(turn), F.rand(turn)), F.lit(max(1, total // 4096))) == 0
+        ).limit(8192)
+        values = [r.k for r in pick.distinct().orderBy("k").collect()]
+        cuts = values[:: max(1, len(values) // 64)]
+        if not cuts:
+            break
+        held = F.array(*[F.lit(c) for c in cuts])
+        bucket = F.coalesce(F.size(F.filter(held, lambda c: c <= key)), F.lit(0))
+        counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        before, touched, skipped = 0, [], 0
+        for r in sorted(counts, key=lambda r: r.b, reverse=down):
+            if before + r.n <= offset:
+                skipped = before + r.n
+            elif before < offset + size:
+                touched.append((r.b, r.n))
+            before += r.n
+        left = sum(n for _, n in touched)
+        if not touched or left == total:
+            break
+        rows = rows.where(bucket.isin(*[b for b, _ in touched]))
+        total, offset = left, offset - skipped
+    return rows, total, offset
 
 
 def report(
@@ -811,8 +858,10 @@ def expand_catalogue(
         .join(brand_flavours.withColumnRenamed("pos", "_pf"), "brand_id")
         .join(brand_sizes.withColumnRenamed("pos", "_ps"), "brand_id")
     )
-    # A catalogue is as long as the maintained flavour and size lists, so one window is enough.
-    seq = F.row_number().over(Window.orderBy("_pb", "_pf", "_ps")).cast("string")
+    row = F.struct("_pb", "_pf", "_ps", "brand_id", "flavor", "size", "short", "flavor_code", "size_code")
+    # Ranges of rows are numbered on their own.
+    rows = numbered(rows.select(row.alias("row")), "row", "_n").select("row.*", "_n")
+    seq = (F.col("_n") + 1).cast("string")
     return rows.select(
         F.concat(F.lit("P"), F.lpad(seq, F.greatest(F.lit(3), F.length(seq)), F.lit("0"))).alias("product_id"),
         F.concat_ws("-", F.upper(F.substring("short", 1, 2)), "flavor_code", "size_code").alias(

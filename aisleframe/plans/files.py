@@ -11,7 +11,7 @@ from ..operators import quality as q
 from ..operators import share as sh
 from ..runtime import scratch_path
 from ..sources import bindings as b
-from ..sources import readers, writers
+from ..sources import readers, trees, writers
 from ..sources.bindings import CROPS_SQL
 from ..streaming import ingest
 from .registry import query
@@ -39,6 +39,39 @@ def _named(spark, d):
     )
 
 
+def _page_files(spark, d, kinds):
+    """A file per page: its url as content, in a folder of its class; every third has the next kind."""
+    pages = b.table(spark, d, "pages")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % len(kinds) + 1).cast("int"))
+    return pages.select(
+        (F.col("page_id") % 7).alias("class"), F.concat(F.lit("page-"), F.col("page_id"), kind).alias("name"),
+        F.encode("url", "UTF-8").alias("content"),
+    )
+
+
+@query("src01_class_tree", """
+SELECT 'shelf/class-' || page_id % 7 || '/page-' || page_id || '.jpg' AS key, strlen(url)::BIGINT AS size,
+       'class-' || page_id % 7 AS label
+FROM pages WHERE page_id % 3 <> 1""")
+def src01(spark, d):
+    root = scratch_path(spark, "tree")
+    folder = F.concat(F.lit("shelf/class-"), F.col("class"))
+    files = _page_files(spark, d, [".jpg", ".png", ".jpg"]).select(F.concat_ws("/", folder, "name").alias("key"), "content")
+    trees.write_tree(files, root)
+    return readers.class_tree(spark, root).select("key", "size", "label")
+
+
+@query("src02_flat_folder", """
+SELECT 'page-' || page_id || ['.jpg', '.JPEG', '.txt', '.Png'][page_id % 4 + 1] AS key, strlen(url)::BIGINT AS size, url AS content
+FROM pages WHERE page_id % 4 <> 2 AND page_id % 7 <> 0""")
+def src02(spark, d):
+    root = scratch_path(spark, "folder")
+    flat = F.when(F.col("class") > 0, F.col("name")).otherwise(F.concat(F.lit("deeper/"), F.col("name")))
+    trees.write_tree(_page_files(spark, d, [".jpg", ".JPEG", ".txt", ".Png"]).select(flat.alias("key"), "content"), root)
+    found = readers.flat_folder(spark, root, content=True)
+    return found.select("key", "size", F.decode("content", "UTF-8").alias("content"))
+
+
 @query("src03_predictions_file", f"""
 WITH {NAMED_SQL} SELECT crop, product, round_even(score * 100, 0)::BIGINT || '%' AS confidence
 FROM named WHERE product <> 'low_confidence'""")

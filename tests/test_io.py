@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from aisleframe.operators import quality, share
-from aisleframe.sources import readers, writers
+from aisleframe.sources import readers, trees, writers
 from aisleframe.streaming import ingest, sessions
 
 
@@ -134,3 +134,17 @@ def test_pool_stream_embeds_only_new_files(spark, tmp_path):
     got = {r["key"]: (r["size"], r["embedding"]) for r in ingest.pool(spark, str(tmp_path / "pool")).collect()}
     assert got == {"1.jpg": (3, [3.0]), "2.jpg": (5, [5.0]), "3.jpg": (7, [7.0])}
     assert calls.value == 3
+
+
+def test_class_tree_lists_without_reading(spark, tmp_path):
+    files = spark.createDataFrame([("a/x.jpg", b"123"), ("a/b/y.jpg", b"4"), ("z.png", b"1")], "key string, content binary")
+    trees.write_tree(files, str(tmp_path / "t"))
+    found = readers.class_tree(spark, str(tmp_path / "t"))
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [("a/b/y.jpg", 1, "b"), ("a/x.jpg", 3, "a")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
+    whole = readers.class_tree(spark, str(tmp_path / "t"), content=True)
+    assert {bytes(r.content) for r in whole.collect()} == {b"123", b"4"}
+    # A second run of the same rows leaves the same files.
+    trees.write_tree(files, str(tmp_path / "t"))
+    assert readers.class_tree(spark, str(tmp_path / "t")).count() == 2

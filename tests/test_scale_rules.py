@@ -202,3 +202,30 @@ def test_competitors_form_only_block_pairs_in_reach(spark):
     for size in (300, 400_000):
         got = market.competitors(obs, block_pairs=size).collect()
         assert {(r.product_id, r["rank"]): (r.competitor_id, r.stores) for r in got} == want
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("values", [1_000_003, 7])
+def test_deep_pages_sort_only_their_range(spark, descending, values):
+    """A page deep in a million rows, on distinct values and on few values with a tie column."""
+    n, page = 1_000_000, 70_000
+    rows = spark.range(n).select("id", (F.col("id") * 7919 % values).alias("v"))
+    seen = []
+    kept = market._narrowed
+
+    def spy(*args):
+        seen.append(kept(*args))
+        return seen[-1]
+
+    market._narrowed = spy
+    try:
+        got = market.search_page(rows, "", [], "v", descending=descending, page=page, page_size=10, tie="id").collect()
+    finally:
+        market._narrowed = kept
+    ids = np.arange(n)
+    v = ids * 7919 % values
+    want = np.lexsort((ids, -v if descending else v))[page * 10 : page * 10 + 10]
+    assert [r.id for r in got] == want.tolist()
+    assert seen[-1][1] <= 50_000 and seen[-1][0].count() == seen[-1][1]
+    last = market.search_page(rows, "", [], "v", page=10**9, page_size=10, tie="id").collect()
+    assert len(last) == 10
