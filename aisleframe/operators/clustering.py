@@ -28,6 +28,8 @@ BLOCK = Limits(block_rows=1024)
 LEAST_SAMPLE, MOST_SAMPLE = 8, 32_768
 PIVOTS_PER_NODE = 1024
 WORST_POWER = 0.7
+# Copies of rows that leave a task at a time.
+ROUTED_ROWS = 16_384
 
 
 def _collapse(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,13 +234,15 @@ def _block_pairs(
                 others = np.arange(first, last)
                 if last - first > 1 and crowd >= 0:
                     others = others[(others < mine["first"]) | (others >= mine["first"] + mine["blocks"])]
-                other = np.tile(others, len(g))
-                own = np.repeat(own, len(others))
-                got = g.iloc[np.repeat(np.arange(len(g)), len(others))].drop(columns=["leaf", "crowd", "h"])
-                lo, hi = np.minimum(own, other), np.maximum(own, other)
-                got["block"], got["pair"] = own.astype("int64"), (lo * total + hi).astype("int64")
-                got["side"] = (own != lo).astype("int32")
-                yield got
+                step = max(1, ROUTED_ROWS // max(1, len(others)))
+                for at in range(0, len(g), step):
+                    rows = np.repeat(np.arange(at, min(at + step, len(g))), len(others))
+                    got = g.iloc[rows].drop(columns=["leaf", "crowd", "h"])
+                    a, z = own[rows], np.tile(others, len(rows) // max(1, len(others)))
+                    lo, hi = np.minimum(a, z), np.maximum(a, z)
+                    got["block"], got["pair"] = a.astype("int64"), (lo * total + hi).astype("int64")
+                    got["side"] = (a != lo).astype("int32")
+                    yield got
 
     hashed = leafed.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(2**40)))
     return hashed.mapInPandas(route, f"{_ddl(points)}, block long, pair long, side int")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import relative_to
 from ..model import CLUSTER_MIN_POINTS
+from ..sources.snapshots import Snapshots
 
 
 class LayoutError(ValueError):
@@ -178,6 +179,22 @@ def update_pool(
     return kept.select("key", "size", "model", "version", "embedding").unionByName(fresh)
 
 
+POOL_SCHEMA = "key string, size long, model string, version int, embedding array<float>"
+
+
+def commit_pool(
+    spark: SparkSession, folder: str, files: DataFrame, embed: Callable[[DataFrame], DataFrame],
+    model: str, version: int,
+) -> DataFrame:
+    """:func:`update_pool` on the committed pool in ``folder``: the new version, read back.
+
+    Readers of the version before go on undisturbed; if anything fails, that one stays the newest.
+    """
+    store = Snapshots(spark, folder, POOL_SCHEMA)
+    new = store.replace(lambda pool: update_pool(files, pool, embed, model, version))
+    return store.read(new)
+
+
 def build_matrix(files: DataFrame, pool: DataFrame, dim: int) -> DataFrame:
     """Files that have a vector of the right width, with it; a wrong width is an error."""
     vec = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(

@@ -13,6 +13,7 @@ from ..operators import quality as q
 from ..runtime import scratch_path
 from ..sources import bindings as b
 from ..sources.bindings import AS_OF_SQL, CROPS_SQL, PRODUCTS_SQL, STORES_SQL
+from ..sources.snapshots import Snapshots
 from ..streaming import sessions
 from .market import r2, r6
 from .registry import query
@@ -129,8 +130,11 @@ def inc02(spark, d):
 SELECT vec_id::VARCHAR AS key, len(embedding)::BIGINT AS size, 'm' AS model, 1 AS version,
        round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""")
 def inc02_pool(spark, d):
+    """The pool is committed, then updated; the rows are read through the second version's manifest."""
     files, pool = _pool_state(spark, d)
-    out = q.update_pool(files, pool, lambda rows: rows.select("key", "size", "embedding"), "m", 1)
+    folder = scratch_path(spark, "pool")
+    Snapshots(spark, folder, q.POOL_SCHEMA).append(pool)
+    out = q.commit_pool(spark, folder, files, lambda rows: rows.select("key", "size", "embedding"), "m", 1)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return out.select("key", "size", "model", "version", F.round(total, 6).alias("total"))
 

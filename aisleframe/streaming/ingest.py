@@ -10,17 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import relative_to
 from ..operators.quality import stale_keys
+from ..sources.snapshots import Snapshots, newest
 
 POOL_SCHEMA = "key string, size long, model string, version int, embedding array<float>, batch long"
+# Folders of a version beyond which it is rewritten as one.
+SMALL_FOLDERS = 32
 
 
-def pool(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest vector per key, model and version of a pool written by :func:`start_pool_updates`."""
-    rows = spark.read.schema(POOL_SCHEMA).parquet(f"{folder}/vectors")
-    newest = F.max_by(F.struct("size", "embedding"), F.col("batch"))
-    return rows.groupBy("key", "model", "version").agg(newest.alias("r")).select(
-        "key", "r.size", "model", "version", "r.embedding"
-    )
+def snapshots(spark: SparkSession, folder: str) -> Snapshots:
+    return Snapshots(spark, f"{folder}/vectors", POOL_SCHEMA)
+
+
+def pool(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """Latest vector per key, model and version of a committed pool of :func:`start_pool_updates`."""
+    rows = newest(snapshots(spark, folder).read(version), ["key", "model", "version"], "batch")
+    return rows.select("key", "size", "model", "version", "embedding")
 
 
 def new_files(spark: SparkSession, folder: str, glob: str = "*.jpg") -> DataFrame:
@@ -47,25 +51,26 @@ def start_pool_updates(
     version: int,
     **trigger,
 ) -> StreamingQuery:
-    """Embed the files of each batch that the pool lacks and store them under their batch number.
+    """Embed the files of each batch that the pool lacks and commit them as a version of the pool.
 
-    Replaying a batch overwrites its own folder; files already present with the same size, model
-    and version are not embedded again.
+    A version keeps the number of its batch, so a replayed batch commits nothing twice; files already
+    present with the same size, model and version are not embedded again. Versions of more than
+    SMALL_FOLDERS folders are rewritten as one, with the latest vector of every key.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = spark.read.schema(POOL_SCHEMA).option("ignoreMissingFiles", "true")
-        try:
-            known = earlier.parquet(f"{folder}/vectors").where(F.col("batch") < number)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            known = spark.createDataFrame([], POOL_SCHEMA)
+        store = snapshots(batch.sparkSession, folder)
+        parent = store.manifest()
+        if parent["marks"].get("batch", -1) >= number:
+            return
+        known = store.read(parent["version"])
         fresh = embed(stale_keys(batch, known, model, version)).where("embedding is not null")
-        fresh.select(
-            "key", "size", F.lit(model).alias("model"), F.lit(version).alias("version"), "embedding"
-        ).write.mode("overwrite").parquet(f"{folder}/vectors/batch={number}")
+        rows = fresh.select(
+            "key", "size", F.lit(model).alias("model"), F.lit(version).alias("version"), "embedding",
+            F.lit(number).cast("long").alias("batch"),
+        )
+        store.append(rows, {"batch": number}, parent)
+        store.compact(SMALL_FOLDERS, lambda rows: newest(rows, ["key", "model", "version"], "batch").select(*rows.columns))
 
     return (
         files.writeStream.foreachBatch(write)

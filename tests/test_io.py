@@ -3,10 +3,12 @@
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from aisleframe.operators import quality, share
 from aisleframe.sources import readers, trees, writers
+from aisleframe.sources.snapshots import Snapshots, VersionTaken
 from aisleframe.streaming import ingest, sessions
 
 
@@ -148,3 +150,51 @@ def test_class_tree_lists_without_reading(spark, tmp_path):
     # A second run of the same rows leaves the same files.
     trees.write_tree(files, str(tmp_path / "t"))
     assert readers.class_tree(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_committed_versions(spark, tmp_path):
+    schema = "key string, size long, model string, version int, embedding array<float>"
+    store = Snapshots(spark, str(tmp_path / "pool"), schema)
+    assert store.read().count() == 0 and store.versions() == []
+    rows = lambda *keys: spark.createDataFrame([(k, 1, "m", 1, [1.0]) for k in keys], schema)
+    keys = lambda v=None: sorted(r.key for r in store.read(v).select("key").collect())
+    assert store.append(rows("a", "b"), {"batch": 4}) == 1
+    reader = store.read()
+
+    # A writer that fails leaves the version as it was, and no data in it.
+    broken = F.udf(lambda k: 1 // 0, "long")
+    files = rows("c").select("key", "size", "embedding")
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        quality.commit_pool(spark, store.folder, files, lambda f: f.withColumn("size", broken("key")), "m", 1)
+    assert store.versions() == [1] and keys() == ["a", "b"]
+
+    got = quality.commit_pool(spark, store.folder, files, lambda f: f, "m", 1)
+    assert sorted(r.key for r in got.collect()) == keys() == ["a", "b", "c"] and keys(1) == ["a", "b"]
+    assert reader.count() == 2 and store.manifest()["marks"] == {"batch": 4}
+
+    # Of two writers with the same parent one is told.
+    parent = store.manifest()
+    store.append(rows("d"), parent=parent)
+    with pytest.raises(VersionTaken):
+        store.append(rows("e"), parent=parent)
+    assert keys() == ["a", "b", "c", "d"]
+
+    assert store.compact(9) is None and store.compact(1) == 4
+    assert len(store.manifest()["folders"]) == 1 and keys() == keys(3) == ["a", "b", "c", "d"]
+    store.vacuum(keep=1)
+    assert store.versions() == [4] and keys() == ["a", "b", "c", "d"]
+    assert not [n for n in os.listdir(tmp_path / "pool" / "versions") if n.endswith(".draft")]
+
+
+def test_a_replayed_batch_is_committed_once(spark, tmp_path):
+    put(tmp_path / "img" / "1.jpg", b"123")
+    folder = str(tmp_path / "pool")
+    take = lambda f: f.select("key", "size", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    ingest.start_pool_updates(ingest.new_files(spark, str(tmp_path / "img")), folder, take, "m", 1).awaitTermination()
+    store = ingest.snapshots(spark, folder)
+    before = store.versions()
+    # Without its commit mark the stream runs the batch again.
+    for name in os.listdir(tmp_path / "pool" / "checkpoint" / "commits"):
+        os.remove(tmp_path / "pool" / "checkpoint" / "commits" / name)
+    ingest.start_pool_updates(ingest.new_files(spark, str(tmp_path / "img")), folder, take, "m", 1).awaitTermination()
+    assert store.versions() == before and ingest.pool(spark, folder).count() == 1
