@@ -185,7 +185,39 @@ def _numbered(spark, d):
     )
 
 
-@query("geo01_merged_boxes")
+# Every step of the recursion is the first merge of a round that is still open, or opens the next
+# round for a photo that had one; a box that took part in the round is marked until then.
+MERGED_SQL = f"""num AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY {BOX_ORDER}) - 1 AS idx FROM box),
+state AS (
+  SELECT photo, 0 AS step,
+         list({{'idx': idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf, 'used': false}} ORDER BY idx) AS boxes
+  FROM num GROUP BY photo
+  UNION ALL
+  SELECT photo, step + 1,
+         CASE WHEN pick IS NULL THEN list_transform(boxes, lambda q: struct_update(q, used := false))
+         ELSE list_transform(list_filter(boxes, lambda q, k: k <> pick.j), lambda q, k: CASE WHEN k <> pick.i THEN q ELSE
+           {{'idx': q.idx, 'x1': least(q.x1, boxes[pick.j].x1), 'y1': least(q.y1, boxes[pick.j].y1),
+            'x2': greatest(q.x2, boxes[pick.j].x2), 'y2': greatest(q.y2, boxes[pick.j].y2),
+            'conf': greatest(q.conf, boxes[pick.j].conf), 'used': true}} END) END
+  FROM (
+    SELECT photo, step, boxes, list_filter(
+      flatten(list_transform(range(1, len(boxes) + 1), lambda i: list_transform(range(i + 1, len(boxes) + 1),
+        lambda j: {{'i': i, 'j': j, 'a': boxes[i], 'b': boxes[j]}}))),
+      lambda p: NOT p.a.used AND NOT p.b.used
+        AND least(p.a.x2 - p.a.x1, p.b.x2 - p.b.x1) > 0 AND least(p.a.y2 - p.a.y1, p.b.y2 - p.b.y1) > 0
+        AND greatest(0, least(p.a.x2, p.b.x2) - greatest(p.a.x1, p.b.x1)) / least(p.a.x2 - p.a.x1, p.b.x2 - p.b.x1) >= 0.80::DOUBLE
+        AND least(p.a.x2 - p.a.x1, p.b.x2 - p.b.x1) / greatest(p.a.x2 - p.a.x1, p.b.x2 - p.b.x1) >= 0.75::DOUBLE
+        AND (greatest(p.a.y1, p.b.y1) - least(p.a.y2, p.b.y2)) / least(p.a.y2 - p.a.y1, p.b.y2 - p.b.y1) <= 0.05::DOUBLE
+        AND (greatest(p.a.y2, p.b.y2) - least(p.a.y1, p.b.y1)) / (greatest(p.a.x2, p.b.x2) - least(p.a.x1, p.b.x1)) <= 6.0::DOUBLE
+    )[1] AS pick
+    FROM state)
+  WHERE pick IS NOT NULL OR len(list_filter(boxes, lambda q: q.used)) > 0),
+last AS (SELECT photo, unnest(boxes, recursive := true) FROM state QUALIFY row_number() OVER (PARTITION BY photo ORDER BY step DESC) = 1)"""
+
+
+@query("geo01_merged_boxes", f"""
+WITH RECURSIVE {BOX_SQL}, {MERGED_SQL}
+SELECT photo, idx, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(conf, 6) AS conf FROM last""")
 def geo01(spark, d):
     return g.merge_adjacent_boxes(_numbered(spark, d)).select(
         "photo", "idx", *r6("x1", "y1", "x2", "y2", "conf")
