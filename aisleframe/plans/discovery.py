@@ -258,6 +258,68 @@ def unk14(spark, d):
     return dc.stage_gates(_cases(spark, d)).select("id", "stage", "initial_size")
 
 
+def _varied_cases(spark, d):
+    """One case per part in which every flag, status and field of the stages fails for some parts."""
+    k, none = F.col("p_partkey"), F.array().cast(NONE)
+    size = F.concat(F.col("p_size").cast("string"), F.lit(" cl"))
+    fails = lambda m, r: k % m == r
+    blank = fails(73, 19)
+    text = lambda gone, value: F.when(gone | blank, F.lit("")).otherwise(value)
+    notes = lambda m, r: F.when(fails(m, r), F.array(F.lit("differs"))).otherwise(none)
+    return b.table(spark, d, "part").select(
+        k.alias("id"),
+        F.struct(
+            F.when(fails(13, 1), F.lit("none")).otherwise(F.lit(" Candidate")).alias("status"),
+            text(F.lit(False), F.col("p_brand")).alias("brand"), text(F.lit(False), F.lit("peach nectar")).alias("flavor"),
+            text(fails(5, 3), size).alias("size"), none.alias("fruits"), none.alias("evidence"), none.alias("conflicts"),
+        ).alias("initial"),
+        F.when(fails(11, 2) | blank, none).otherwise(F.array(tx.compact_token(F.col("p_brand")))).alias("brands"),
+        F.struct(
+            text(fails(17, 5), F.lit("peach")).alias("flavor"), none.alias("fruits"), (~fails(19, 6)).alias("flavor_supported"),
+            none.alias("evidence"), notes(67, 17).alias("conflicts"),
+        ).alias("flavor_recheck"),
+        F.struct(
+            F.when(fails(2, 0), F.lit("recovered")).otherwise(F.lit("failed")).alias("status"),
+            text(fails(3, 0), size).alias("size"), F.when(~fails(7, 4), True).alias("size_supported"),
+            none.alias("evidence"), notes(71, 18).alias("conflicts"),
+        ).alias("size_recovery"),
+        F.struct(
+            F.when(fails(23, 7), F.lit("reject")).otherwise(F.lit(" ACCEPT")).alias("verdict"),
+            text(fails(47, 13), F.col("p_brand")).alias("brand"), text(fails(53, 14), F.lit("Peach juice")).alias("flavor"),
+            text(fails(59, 15), size).alias("size"), F.array(F.lit("peach")).alias("fruits"),
+            (~fails(29, 8)).alias("image_supported"), (~fails(31, 9)).alias("brand_recheck_supported"),
+            F.when(~fails(37, 10), True).alias("brand_supported"), (~fails(41, 11)).alias("flavor_supported"),
+            (~fails(43, 12)).alias("size_supported"),
+            F.when(fails(4, 2), F.lit("Confirmed ")).when(fails(8, 3), F.lit("contradicted")).otherwise(F.lit("inconclusive")).alias("web_status"),
+            (~fails(16, 2)).alias("web_supported"), none.alias("evidence"), notes(61, 16).alias("conflicts"),
+            F.when(fails(2, 1), F.lit("label read")).otherwise(F.lit("")).alias("reason"),
+        ).alias("verification"),
+    )
+
+
+@query("unk12_acceptance", f"""
+WITH c AS (SELECT p_partkey AS k, p_partkey % 73 = 19 AS blank, p_partkey % 5 <> 3 AS first_size, p_partkey % 3 <> 0 AS found_size FROM part),
+v AS (SELECT k, blank, k % 13 = 1 AS no_candidate, k % 11 = 2 OR blank AS no_brand,
+    NOT blank AND k % 23 <> 7 AND k % 29 <> 8 AND k % 31 <> 9 AND k % 37 <> 10 AND k % 41 <> 11 AND k % 43 <> 12
+    AND k % 47 <> 13 AND k % 17 <> 5 AND k % 19 <> 6 AND k % 61 <> 16 AND k % 67 <> 17 AND k % 71 <> 18
+    AND (first_size OR k % 2 = 0 AND k % 7 <> 4 AND found_size)
+    AND (k % 59 <> 15 OR found_size)
+    AND CASE WHEN k % 4 = 2 THEN k % 16 <> 2 ELSE k % 8 <> 3 END AS kept FROM c)
+SELECT k AS id, CASE WHEN kept AND NOT no_candidate AND NOT no_brand THEN 'verified' WHEN blank THEN 'unresolved_unknown' ELSE 'partial' END AS status,
+       CASE WHEN no_candidate THEN '{dc.NO_CANDIDATE}' WHEN no_brand THEN '{dc.NO_BRAND}'
+            WHEN k % 2 = 1 THEN 'label read' ELSE '{dc.REJECTED}' END AS reason FROM v""")
+def unk12(spark, d):
+    return dc.resolve(_varied_cases(spark, d)).select("id", "status", "reason")
+
+
+@query("unk14_all_stages", """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 1 THEN 'unresolved: no candidate' WHEN p_partkey % 11 = 2 OR p_partkey % 73 = 19 THEN 'unresolved: no brand'
+       WHEN p_partkey % 5 = 3 THEN 'recover size' ELSE 'verify' END AS stage,
+       CASE WHEN p_partkey % 5 = 3 OR p_partkey % 73 = 19 THEN '' ELSE (p_size * 10) || 'ml' END AS initial_size FROM part""")
+def unk14_all(spark, d):
+    return dc.stage_gates(_varied_cases(spark, d)).select("id", "stage", "initial_size")
+
+
 @query("unk15_status_counts", f"WITH {RESOLVED_SQL} SELECT status, count(*)::BIGINT AS n FROM r GROUP BY 1")
 def unk15(spark, d):
     return dc.status_counts(dc.resolve(_cases(spark, d)))
