@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +36,36 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(token: pd.Series, term: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two words."""
+    """Ratcliff-Obershelp similarity of two words; null where the token is."""
     return pd.Series(
-        [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(token, term)], dtype="float64"
+        [None if a is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(token, term)],
+        dtype="float64",
+    )
+
+
+def fuzzy_bounds(token: Column, term: Column) -> tuple[Column, Column]:
+    """Least and most that :func:`fuzzy_ratio` can be, without looking for blocks.
+
+    The letters in common bound it from above. The first block is at least as long as a common
+    beginning, and where one word holds the other it is that word, so the ratio is known.
+    """
+    both = F.length(token) + F.length(term)
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    letters = F.aggregate(
+        F.array_distinct(F.split(term, "")), F.lit(0),
+        lambda n, c: n + F.least(count(token, c), count(term, c)),
+    )
+    begin = F.size(F.filter(
+        F.sequence(F.lit(1), F.least(F.length(token), F.length(term))),
+        lambda n: F.substring(token, F.lit(1), n) == F.substring(term, F.lit(1), n),
+    ))
+    ratio = lambda matches: F.lit(2.0) * matches / both
+    known = F.when(F.contains(token, term), F.length(term)).when(F.contains(term, token), F.length(token))
+    # The function itself treats frequent letters of very long terms apart.
+    short = F.length(term) < 200
+    return (
+        F.when(short, ratio(F.coalesce(known, begin))).otherwise(0.0),
+        F.when(short, ratio(F.coalesce(known, letters))).otherwise(1.0),
     )
 
 
@@ -51,6 +79,24 @@ def match_term(token: Column, term: Column) -> Column:
     )
 
 
+def match_terms(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best similarity of ``token`` to any ``term`` of each key: keys..., score. Short terms need a
+    literal hit. Only pairs whose upper bound beats what is certain for their key are compared."""
+    token, term = F.col("token"), F.col("term")
+    empty = (F.length(token) == 0) | (F.length(term) == 0)
+    literal = F.when(F.contains(token, term), F.lit(1.0)).otherwise(F.lit(0.0))
+    fixed = empty | (F.length(term) <= SHORT_TERM)
+    sure = F.when(empty, F.lit(0.0)).otherwise(literal)
+    least, most = fuzzy_bounds(token, term)
+    bounded = pairs.withColumns(
+        {"_least": F.when(fixed, sure).otherwise(least), "_most": F.when(fixed, sure).otherwise(most)}
+    )
+    certain = F.max("_least").over(Window.partitionBy(*keys))
+    opened = bounded.withColumn("_open", F.col("_most") > certain)
+    asked = opened.withColumn("_ratio", fuzzy_ratio(F.when(F.col("_open"), token), term))
+    return asked.groupBy(*keys).agg(F.max(F.coalesce("_ratio", "_least")).alias("score"))
+
+
 def fold_letters(composed: Column) -> Column:
     """Comparable form of already composed text: letters and digits only, lower case."""
     text = F.translate(composed, ARABIC_LETTERS, PERSIAN_LETTERS)

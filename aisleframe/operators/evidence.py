@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import brand_and_flavour
-from ..functions.text import match_term, nfkc, fold_letters, normalise
+from ..functions.text import match_terms, nfkc, fold_letters, normalise
 from ..model import LOW_CONFIDENCE, UNKNOWN_BUCKET
 
 # Lexicon of printed brand and flavour words.
@@ -74,9 +74,8 @@ def term_scores(tokens: DataFrame, words: Column | None = None) -> DataFrame:
     pairs = distinct.select("token", F.explode(words).alias("w")).select(
         "token", "w.kind", "w.key", "w.pos", normalise(F.col("w.term")).alias("term")
     )
-    hits = pairs.withColumn("score", match_term(F.col("token"), F.col("term")))
     per_token = (
-        hits.groupBy("token", "kind", "key", "pos").agg(F.max("score").alias("score"))
+        match_terms(pairs, ["token", "kind", "key", "pos"])
         .groupBy("token")
         .agg(F.collect_list(F.struct("kind", "key", "pos", "score")).alias("hits"))
     )

@@ -374,28 +374,22 @@ def evd01(spark, d):
     return fx.read_tokens(_reads(spark, d))
 
 
-# Letters that the longer terms share with the words of part names in common blocks
-# (Ratcliff and Obershelp); pairs without any are left out.
-COMMON_SQL = """common(token, term, m) AS (VALUES
-  ('blue', 'smallest', 2), ('blue', 'azure', 2), ('blue', 'widgets', 1), ('blue', 'gadget', 1),
-  ('cold', 'smallest', 1), ('cold', 'widgets', 1), ('cold', 'gadget', 1), ('hot', 'smallest', 1),
-  ('hot', 'widgets', 1), ('hot', 'gadget', 1), ('large', 'smallest', 2), ('large', 'azure', 3),
-  ('large', 'widgets', 2), ('large', 'gadget', 3), ('new', 'smallest', 1), ('new', 'azure', 1), ('new', 'widgets', 1),
-  ('new', 'gadget', 1), ('old', 'smallest', 1), ('old', 'widgets', 1), ('old', 'gadget', 1), ('red', 'smallest', 1),
-  ('red', 'azure', 2), ('red', 'widgets', 1), ('red', 'gadget', 1), ('small', 'smallest', 5), ('small', 'azure', 1),
-  ('small', 'widgets', 1), ('small', 'gadget', 1), ('anvil', 'smallest', 2), ('anvil', 'azure', 1),
-  ('anvil', 'widgets', 1), ('anvil', 'gadget', 1), ('bolt', 'smallest', 2), ('bolt', 'widgets', 1),
-  ('bolt', 'gadget', 1), ('gear', 'smallest', 1), ('gear', 'azure', 1), ('gear', 'widgets', 2), ('gear', 'gadget', 2),
-  ('gizmo', 'smallest', 1), ('gizmo', 'azure', 1), ('gizmo', 'widgets', 1), ('gizmo', 'gadget', 1),
-  ('plate', 'smallest', 2), ('plate', 'azure', 2), ('plate', 'widgets', 1), ('plate', 'gadget', 2),
-  ('ring', 'azure', 1), ('ring', 'widgets', 2), ('ring', 'gadget', 1), ('rod', 'azure', 1), ('rod', 'widgets', 1),
-  ('rod', 'gadget', 1), ('widget', 'smallest', 2), ('widget', 'azure', 1), ('widget', 'widgets', 6),
-  ('widget', 'gadget', 4))"""
+# Ratcliff and Obershelp: the longest common block (the first in the token, then in the term), and the
+# same again left and right of it; a segment pair is a row of the recursion.
+BLOCK_SQL = """list_max(flatten(list_transform(range(1, length(sa) + 1), lambda i: list_transform(range(1, length(sb) + 1),
+    lambda j: {'k': len(list_filter(range(1, 1 + least(length(sa) - i, length(sb) - j) + 1),
+                 lambda n: sa[i:i + n - 1] = sb[j:j + n - 1])), 'i': -i, 'j': -j}))))"""
+COMMON_SQL = f"""seg AS (
+  SELECT DISTINCT token, term, token AS sa, term AS sb FROM reads CROSS JOIN lexicon WHERE length(term) > 4
+  UNION ALL
+  SELECT token, term, unnest([sa[:-m.i - 1], sa[m.k - m.i:]]), unnest([sb[:-m.j - 1], sb[m.k - m.j:]])
+  FROM (SELECT *, {BLOCK_SQL} AS m FROM seg WHERE sa <> '' AND sb <> '') WHERE m.k > 0),
+common AS (SELECT token, term, sum((b).k) AS m FROM (SELECT token, term, {BLOCK_SQL} AS b FROM seg WHERE sa <> '' AND sb <> '') GROUP BY ALL)"""
 SCORES_SQL = f"""lexicon(kind, key, pos, term) AS (VALUES ('brand', 'red', 0, 'red'), ('brand', 'smallish', 1, 'smallest'),
   ('brand', 'blue', 2, 'blue'), ('brand', 'blue', 2, 'azure'), ('flavour', 'ring', 0, 'ring'),
   ('flavour', 'widget', 1, 'widgets'), ('flavour', 'gadget', 2, 'gadget')),
-{COMMON_SQL},
 reads AS (SELECT DISTINCT p_partkey AS id, unnest([lower(split_part(p_name, ' ', 1)), lower(split_part(p_name, ' ', 2))]) AS token FROM part),
+{COMMON_SQL},
 scores AS (SELECT id, kind, key, pos, max(CASE WHEN length(term) <= 4 THEN contains(token, term)::INTEGER
     ELSE coalesce(2.0::DOUBLE * m / (length(token) + length(term)), 0) END::DOUBLE) AS score
   FROM reads CROSS JOIN lexicon LEFT JOIN common USING (token, term) GROUP BY ALL)"""
@@ -405,13 +399,13 @@ evidence AS (SELECT id, max(key) FILTER (kind = 'flavour' AND place = 1) AS flav
   max(score) FILTER (kind = 'brand' AND place = 2) AS brand_runner_up FROM placed GROUP BY 1)"""
 
 
-@query("evd04_term_scores", f"WITH {SCORES_SQL} SELECT id, kind, key, round(score, 6) AS score FROM scores")
+@query("evd04_term_scores", f"WITH RECURSIVE {SCORES_SQL} SELECT id, kind, key, round(score, 6) AS score FROM scores")
 def evd04(spark, d):
     scores = fx.term_scores(fx.read_tokens(_reads(spark, d)), fx.lexicon(WORDS, THINGS))
     return scores.select("id", "kind", "key", *r6("score"))
 
 
-@query("evd04_best_terms", f"""WITH {EVIDENCE_SQL}
+@query("evd04_best_terms", f"""WITH RECURSIVE {EVIDENCE_SQL}
 SELECT id, flavour, brand, round(flavour_score, 6) AS flavour_score, round(brand_score, 6) AS brand_score,
        round(brand_runner_up, 6) AS brand_runner_up FROM evidence""")
 def evd04_best(spark, d):
@@ -421,7 +415,7 @@ def evd04_best(spark, d):
     )
 
 
-@query("evd11_reading_yield", f"""WITH {EVIDENCE_SQL}
+@query("evd11_reading_yield", f"""WITH RECURSIVE {EVIDENCE_SQL}
 SELECT count(*)::BIGINT AS crops, count(*)::BIGINT AS with_text,
        count_if(brand_score >= 0.6 AND brand_score - brand_runner_up >= 0.15)::BIGINT AS with_brand,
        count_if(flavour_score >= 0.6)::BIGINT AS with_flavour,

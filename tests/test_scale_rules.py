@@ -1,13 +1,16 @@
 """Nothing is cut, ids may be of any type, and scratch tables stay few and shared."""
 
+import difflib
 import glob
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from aisleframe import runtime
+from aisleframe.functions import text
 from aisleframe.operators import clustering, discovery, discriminant, market, matching, recognition
 from aisleframe.streaming import sessions
 
@@ -229,3 +232,36 @@ def test_deep_pages_sort_only_their_range(spark, descending, values):
     assert seen[-1][1] <= 50_000 and seen[-1][0].count() == seen[-1][1]
     last = market.search_page(rows, "", [], "v", page=10**9, page_size=10, tie="id").collect()
     assert len(last) == 10
+
+
+def test_few_pairs_are_compared_letter_by_letter(spark):
+    """Bounds hold, scores equal a comparison of every pair, and not every pair needs one."""
+    rng = np.random.default_rng(12)
+    terms = ["peach", "orange juice", "pineapple", "mandarin", "apple", "grape", "red grape", "tea", "lemonade", "limonade"]
+    word = lambda: "".join(rng.choice(list("aeimnrlpgcd "), rng.integers(0, 12)))
+    tokens = sorted({word() for _ in range(300)} | {"peach", "pinapple", "grapes", "mandarine", "", "lemon", "teapot"})
+    rows = [(t, f"k{i % 4}", w) for t in tokens for i, w in enumerate(terms)]
+    pairs = spark.createDataFrame(rows, "token string, key string, term string").cache()
+    least, most = text.fuzzy_bounds(F.col("token"), F.col("term"))
+    for r in pairs.where("token <> ''").select("*", least.alias("least"), most.alias("most")).collect():
+        exact = difflib.SequenceMatcher(None, r.token, r.term).ratio()
+        assert r.least <= exact <= r.most, r
+    want = {}
+    for t, k, w in rows:
+        one = 0.0 if not t else float(w in t) if len(w) <= text.SHORT_TERM else difflib.SequenceMatcher(None, t, w).ratio()
+        want[t, k] = max(want.get((t, k), 0.0), one)
+    compared = spark.sparkContext.accumulator(0)
+    plain = text.fuzzy_ratio
+
+    @F.pandas_udf("double")
+    def counting(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(int(a.notna().sum()))
+        return pd.Series([None if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    text.fuzzy_ratio = counting
+    try:
+        got = {(r.token, r.key): r.score for r in text.match_terms(pairs, ["token", "key"]).collect()}
+    finally:
+        text.fuzzy_ratio = plain
+    assert got == want
+    assert 0 < compared.value < 0.8 * len(rows)
