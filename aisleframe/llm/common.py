@@ -5,23 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.runtime import scratch_path
+from aisleframe.runtime import forget, scratch_path
 
 # Text handed to one vectorised step, and text gathered before a batch leaves a task.
 SLICE_BYTES = 4 * 1024 * 1024
 OUT_BYTES = 8 * 1024 * 1024
 
 
+# Tables that operators of this session have left in the shared folder.
+_left: list[str] = []
+
+
 def folder_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a compressed table in the shared folder, read back by Spark."""
+    """Cut the lineage: a compressed table in the shared folder, read back by Spark.
+
+    It stays until :func:`forget_tables`, as results are lazy and may be read any time later.
+    """
     path = scratch_path(df.sparkSession, name)
+    _left.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_left() -> int:
+    """How many tables operators have left so far."""
+    return len(_left)
+
+
+def forget_tables(spark: SparkSession, since: int = 0) -> int:
+    """Removes the tables left after the first ``since``; for callers whose own results are stored."""
+    gone = _left[since:]
+    del _left[since:]
+    for path in gone:
+        forget(spark, path)
+    return len(gone)
+
+
 def whole_text(col: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

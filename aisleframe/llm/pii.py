@@ -126,7 +126,11 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (by start, then kind as in KINDS) per row. Null text is empty and has none."""
+    """doc_id, spans (by start, then kind as in KINDS) per row.
+
+    Null and empty texts have none. Repeated rows and null ids each give their own row, empty tables
+    none; a very long text is read whole, alone in its slice. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()

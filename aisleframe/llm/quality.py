@@ -284,7 +284,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: i
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1, higher is better) per row; null text is empty."""
+    """doc_id, score (0 to 1, higher is better) per row.
+
+    Null text is empty; an empty text is one blank line. Repeated rows and null ids each give their own
+    row, empty tables none; texts are read whole, lines over a megabyte in parts. Other columns are not
+    read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", PIECE):

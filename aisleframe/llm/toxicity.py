@@ -212,7 +212,12 @@ def severity(model: Model, text: Column) -> Column:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity, score, grade, predicted (1 from score 0.5 on) per row; null text is empty."""
+    """doc_id, severity, score, grade, predicted (1 from score 0.5 on) per row.
+
+    Null text is empty; empty texts have no features and the severity of the thresholds alone.
+    Repeated rows and null ids each give their own row, empty tables none; texts are read whole. Other
+    columns are not read.
+    """
     got = docs.select("doc_id", severity(model, whole_text()).alias("_s"))
     return got.select(
         "doc_id", "_s.severity", "_s.score", "_s.grade",

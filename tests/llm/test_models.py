@@ -84,3 +84,60 @@ def test_ordinal_fit_follows_counts():
     model = toxicity._descend({"=x": 0}, np.log1p(n)[:, None].astype(float), y)
     expected = model.grades(np.log1p(np.arange(12))[:, None]) @ np.arange(4)
     assert (np.diff(expected) > 0).all() and expected[0] < 0.3 and expected[11] > 2.6
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_quality(model, text):
+    """One text alone: sums in the log domain, line by line."""
+    bins, lengths, _ = quality.lines_of([text])
+    n = len(bins)
+    own = [sum(model.own[k, b] for k, b in enumerate(line)) + model.bias for line in bins]
+    for i in range(n):
+        if i > 0:
+            own[i] += sum(model.before[k, b] for k, b in enumerate(bins[i - 1]))
+        if i + 1 < n:
+            own[i] += sum(model.after[k, b] for k, b in enumerate(bins[i + 1]))
+    emit = [(0.0, max(-30.0, min(30.0, s))) for s in own]
+    ahead = [list(emit[0])]
+    for i in range(1, n):
+        ahead.append([emit[i][y] + np.logaddexp(*[ahead[-1][x] + model.moves[x, y] for x in (0, 1)]) for y in (0, 1)])
+    behind = [[0.0, 0.0]]
+    for i in range(n - 2, -1, -1):
+        behind.append([np.logaddexp(*[model.moves[x, y] + emit[i + 1][y] + behind[-1][y] for y in (0, 1)]) for x in (0, 1)])
+    behind.reverse()
+    p = [1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, behind)]
+    w = [max(1, int(x)) for x in lengths]
+    s = sum(a * b for a, b in zip(p, w)) / sum(w)
+    return 0.5 * s / model.cut if s < model.cut else 0.5 + 0.5 * (s - model.cut) / (1 - model.cut)
+
+
+def test_op3_equals_a_plain_forward_backward(spark):
+    docs, labels = queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")
+    model = quality.fit(docs, labels, learn=~queries.held_out())
+    got = {r.doc_id: r.score for r in queries.op3(spark, SMALL).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        assert got[d] == pytest.approx(plain_quality(model, t), abs=1e-9)
+
+
+def test_op7_equals_a_plain_scorer(spark):
+    docs, labels = queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op7(spark, SMALL).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == texts.keys() and any(r.predicted for r in got.values())
+    for d, t in texts.items():
+        counts = {}
+        for token in t.lower().split():
+            for f in toxicity.word_features(token):
+                if f in model.index:
+                    counts[f] = counts.get(f, 0) + 1
+        line = sum(model.weights[model.index[f]] * np.log(1 + n) for f, n in counts.items())
+        below = [0.0, *[1 / (1 + np.exp(line - b)) for b in model.bounds], 1.0]
+        grades = np.diff(below)
+        assert got[d].severity == pytest.approx(sum(k * g for k, g in enumerate(grades)), abs=1e-9)
+        assert got[d].score == pytest.approx(1 - grades[0], abs=1e-9)
+        assert got[d].predicted == int(1 - grades[0] >= 0.5)

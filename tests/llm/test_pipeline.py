@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aisleframe.llm import decontam, queries, toxicity
+from aisleframe.llm import decontam, exact_dedup, queries, toxicity
+from aisleframe.llm.common import forget_tables, tables_left
 from aisleframe.llm.simhash import shingles
 from tests.llm.test_decontam import brute
 from tests.llm.test_duplicates import roots
@@ -62,6 +63,10 @@ def test_run_applies_the_stages_in_order(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER)
     assert got == {r.doc_id for r in docs.select("doc_id").collect()} and got
+    before = tables_left()
+    exact_dedup.keep_owners(docs)
+    assert tables_left() > before
+    assert forget_tables(spark, before) > 0 and tables_left() == before
 
 
 def test_stages_take_rows_of_any_kind(spark):
