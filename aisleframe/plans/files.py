@@ -184,6 +184,12 @@ WITH {NAMED_SQL} SELECT id::VARCHAR AS filename,
             ELSE 'unresolved_unknown' END AS copied_to,
        '{{"brand":"' || p_name || '"}}' AS initial_candidate, '[]' AS evidence FROM named""")
 def snk05(spark, d):
+    back = spark.read.option("header", "true").option("escape", '"').csv(f"{_discovery(spark, d)}/csv")
+    return back.select("filename", "copied_to", "initial_candidate", "evidence")
+
+
+def _discovery(spark, d):
+    """Where the results of one case per part are written in all three forms."""
     path = scratch_path(spark, "discovery")
     size = F.col("p_size")
     rows = _named(spark, d).select(
@@ -194,8 +200,25 @@ def snk05(spark, d):
         F.struct(F.col("p_name").alias("brand")).alias("initial_candidate"),
     )
     writers.discovery(rows, f"{path}/csv", f"{path}/json", f"{path}/folders")
-    back = spark.read.option("header", "true").option("escape", '"').csv(f"{path}/csv")
-    return back.select("filename", "copied_to", "initial_candidate", "evidence")
+    return path
+
+
+DISCOVERED_SQL = f"""{NAMED_SQL}, found AS (SELECT id::VARCHAR AS filename, product AS label, p_name AS brand,
+  CASE p_size % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' ELSE 'unresolved_unknown' END AS status FROM named)"""
+DISCOVERED = "filename string, status string, label string, initial_candidate struct<brand: string>"
+
+
+@query("snk05_result_lines", f"WITH {DISCOVERED_SQL} SELECT filename, status, label, brand FROM found")
+def snk05_lines(spark, d):
+    back = spark.read.schema(DISCOVERED).json(f"{_discovery(spark, d)}/json")
+    return back.select("filename", "status", "label", "initial_candidate.brand")
+
+
+@query("snk05_routed_folders", f"""
+WITH {DISCOVERED_SQL} SELECT filename, status AS route, CASE WHEN status <> 'unresolved_unknown' THEN label END AS route_label, brand FROM found""")
+def snk05_routed(spark, d):
+    back = spark.read.schema(f"{DISCOVERED}, route string, route_label string").json(f"{_discovery(spark, d)}/folders")
+    return back.select("filename", "route", "route_label", "initial_candidate.brand")
 
 
 @query("snk06_predictions_by_class", f"""

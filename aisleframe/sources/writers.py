@@ -59,6 +59,7 @@ def cluster_assignment(rows: DataFrame, csv_path: str, folder: str) -> None:
     out.write.mode("overwrite").partitionBy("cluster").parquet(folder)
 
 
+# Columns of the results file in their order, and which of them hold objects or lists.
 NESTED_OBJECTS = ("initial_candidate", "brand_recheck", "flavor_recheck", "size_recovery")
 NESTED_LISTS = ("brand_candidates", "search_queries", "search_results", "evidence", "conflicts")
 DISCOVERY_COLUMNS = (
