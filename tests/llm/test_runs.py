@@ -108,3 +108,13 @@ def test_query(spark):
         assert got[doc].n_runs == len(found)
         assert got[doc].runs_sha256 == hashlib.sha256(lines.encode()).hexdigest()
         assert got[doc].collapsed_sha256 == hashlib.sha256(brute_collapsed(words, found).encode()).hexdigest()
+
+
+def test_planted_rows_of_any_kind(spark):
+    chosen = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0][:6]
+    texts = ["", None, " \t\n", "a", " x  y\tz " * 9, "é " * 50]
+    rows = [*zip(chosen, texts), (None, "a b"), (chosen[4], texts[4])]
+    got = runs.with_planted_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    want = {(d, " ".join(planted(d, t or "")) if d is not None else t) for d, t in rows}
+    assert {(r.doc_id, " ".join(r.text.split())) for r in got} == want
